@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtrail.llm.kit import documents
+from boxtrail.llm.kit import documents, held_out
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id", 5))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +26,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
