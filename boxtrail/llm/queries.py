@@ -17,6 +17,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import media
+
+    return media.digest(media.store_and_read(documents(spark, sf_dir)))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +33,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op5_media": op5_media,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
