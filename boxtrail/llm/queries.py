@@ -44,6 +44,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_and_read(documents(spark, sf_dir)))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import pii
+
+    return pii.detect(documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
     "op5_media": op5_media,
+    "op6_pii": op6_pii,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
