@@ -38,7 +38,7 @@ HINTS = {
     "ip": r"{t} rlike '[0-9]\\.[0-9]'",
     "card": r"{t} rlike '[0-9](?:[\\x20-]?[0-9]){{13}}'",
     "phone": "instr({t}, '+') > 0",
-    "iban": "{t} rlike '[A-Z]{{2}}[0-9]{{2}}\\x20?[A-Z0-9]'",
+    "iban": r"{t} rlike '[A-Z]{{2}}[0-9]{{2}}\\x20?[A-Z0-9]'",
     "ssn": "{t} rlike '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'",
 }
 
