@@ -58,12 +58,21 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id", 5))
+    return quality.judge(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "doc_score", "host_share", "path_share", "quality_score", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
     "op5_media": op5_media,
     "op6_pii": op6_pii,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
