@@ -58,6 +58,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import decontaminate
+
+    return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxtrail.llm import quality
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op6_pii": op6_pii,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 
