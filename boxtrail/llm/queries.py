@@ -18,6 +18,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import lm
+
+    out = lm.train_and_score(documents(spark, sf_dir), ~held_out("doc_id", 10))
+    return out.select("doc_id", held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The conversation that op3 adds: texts made of control strings.
 TRICKY = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
@@ -74,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm": op2_lm,
     "op3_chat": op3_chat,
     "op5_media": op5_media,
     "op6_pii": op6_pii,
