@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 from boxtrail.llm.kit import BYTE_CODE, IS_SPACE, LOWER, MULT, passes, utf8
 
+#: Pairs that are verified together.
+LOT = 16_384
+
 PLAIN = LOWER.copy()
 PLAIN[IS_SPACE] = 32
 
@@ -43,7 +46,7 @@ class Params:
     sample: int = 2
     stretch: int = 2
     seed: int = 11
-    block_bytes: int = 4 << 20
+    block_bytes: int = 1 << 19
 
     def recall(self, equal: float = 0.25) -> float:
         return 1 - (1 - equal**self.sample) ** (self.walks * self.tables)
@@ -71,30 +74,66 @@ def rolling(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+class Searcher:
+    """Least edit distances between items and any stretch of a text, for many pairs at once: Myers' bit vectors of
+    64-bit words, the first row held at 0 (Sellers), so that a match may begin anywhere."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.size = np.array([len(t) for t in items], np.int64)
+        self.words = np.maximum(-(-self.size // 64), 1)
+        self.equal = []
+        for t, k in zip(items, self.words.tolist(), strict=True):
+            table = np.zeros((256, k), np.uint64)
+            at = np.arange(len(t))
+            np.bitwise_or.at(table, (t, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+            self.equal.append(table)
+
+    def __call__(self, item: np.ndarray, texts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """texts: a row each, of which the first `length` bytes count."""
+        out = np.zeros(len(item), np.int64)
+        for k in np.unique(self.words[item]).tolist():
+            at = np.flatnonzero(self.words[item] == k)
+            for a in range(0, len(at), 4096):
+                part = at[a : a + 4096]
+                out[part] = self._same_words(k, item[part], texts[part], length[part])
+        return out
+
+    def _same_words(self, k: int, item: np.ndarray, texts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        used, inv = np.unique(item, return_inverse=True)
+        equal = np.stack([self.equal[j] for j in used.tolist()])
+        n = self.size[item]
+        one, top = np.uint64(1), np.maximum(n - 1, 0) % 64
+        last = one << top.astype(np.uint64)
+        up = [np.full(len(item), 2**64 - 1, np.uint64) for _ in range(k)]
+        down = [np.zeros(len(item), np.uint64) for _ in range(k)]
+        score, best = n.copy(), n.copy()
+        for t in range(int(length.max()) if len(length) else 0):
+            eq = equal[inv, texts[:, t]]
+            carry = hp_in = hn_in = np.uint64(0)
+            for w in range(k):
+                x = eq[:, w] | down[w]
+                a = x & up[w]
+                s = a + up[w]
+                over = s < a
+                s2 = s + carry
+                carry = (over | (s2 < s)).astype(np.uint64)
+                d0 = (s2 ^ up[w]) | x
+                hp, hn = down[w] | ~(d0 | up[w]), up[w] & d0
+                if w == k - 1:
+                    score = score + ((hp & last) != 0) - ((hn & last) != 0)
+                hp_s, hn_s = (hp << one) | hp_in, (hn << one) | hn_in
+                hp_in, hn_in = hp >> np.uint64(63), hn >> np.uint64(63)
+                up[w], down[w] = hn_s | ~(d0 | hp_s), hp_s & d0
+            best = np.where(t < length, np.minimum(best, score), best)
+        return best
+
+
 def nearest(item: bytes, text: bytes) -> int:
     """Least edit distance between item and any stretch of text."""
     if not item:
         return 0
-    at: dict[int, int] = {}
-    for i, c in enumerate(item):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
-    up, down, score = full, 0, len(item)
-    best = score
-    for c in text:
-        eq = at.get(c, 0)
-        x = eq | down
-        d0 = ((((x & up) + up) ^ up) | x) & full
-        hp, hn = (down | ~(d0 | up)) & full, up & d0
-        if hp & top:
-            score += 1
-        elif hn & top:
-            score -= 1
-        hp, hn = (hp << 1) & full, (hn << 1) & full  # the first row stays 0: a match may begin anywhere
-        up, down = (hn | ~(d0 | hp)) & full, hp & d0
-        if score < best:
-            best = score
-    return best
+    row = np.frombuffer(text, np.uint8)[None]
+    return int(Searcher([np.frombuffer(item, np.uint8)])(np.zeros(1, np.int64), row, np.array([len(text)]))[0])
 
 
 class Matcher:
@@ -115,6 +154,7 @@ class Matcher:
         self.known = np.zeros(1 << 22, bool)
         self.known[self.gram >> np.uint64(42)] = True
         self.longest = int(self.size.max()) if len(self.size) else 0
+        self.search = Searcher(self.texts)
         rng = np.random.default_rng(p.seed)
         steps = self.longest * p.stretch
         self.moves = [rng.integers(0, 2, (steps, 256), dtype=np.int8) for _ in range(p.walks)]
@@ -184,25 +224,34 @@ class Matcher:
     def find(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, distance) of everything contained."""
         data, offsets = utf8(column)
-        out = []
-        if not len(self.gram):
-            return out
-        for i, j in passes(offsets):
+        best: dict[tuple[int, int], int] = {}
+        waiting: list[tuple[int, int, np.ndarray]] = []
+
+        def verify() -> None:
+            """In lots, because one step over many pairs costs about as much as over a few."""
+            length = np.array([len(t) for _, _, t in waiting], np.int64)
+            texts = np.zeros((len(waiting), int(length.max())), np.uint8)
+            for i, (_, _, t) in enumerate(waiting):
+                texts[i, : len(t)] = t
+            for (r, m, _), x in zip(waiting, self.search(np.array([m for _, m, _ in waiting]), texts, length).tolist(), strict=True):
+                best[r, m] = min(best.get((r, m), x), x)
+            waiting.clear()
+
+        for i, j in passes(offsets) if len(self.gram) else ():
             d, at = PLAIN[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
             row, item, start = self.windows(d, at)
             if not len(row):
                 continue
-            keep = np.flatnonzero(self.candidates(d, at, row, item, start))
-            best: dict[tuple[int, int], int] = {}
-            for k in keep.tolist():
-                r, m, s = int(row[k]), int(item[k]), int(start[k])
-                if best.get((r, m)) == 0:
-                    continue
-                slack = int(self.most[m]) + self.p.bin_bytes
-                a, b = max(int(at[r]), s - slack), min(int(at[r + 1]), s + int(self.size[m]) + slack)
-                best[r, m] = min(best.get((r, m), 1 << 60), nearest(self.texts[m].tobytes(), d[a:b].tobytes()))
-            out += [(i + r, m, x) for (r, m), x in sorted(best.items()) if x <= self.most[m]]
-        return out
+            k = np.flatnonzero(self.candidates(d, at, row, item, start))
+            slack = self.most[item[k]] + self.p.bin_bytes
+            first, last = np.maximum(at[row[k]], start[k] - slack), np.minimum(at[row[k] + 1], start[k] + self.size[item[k]] + slack)
+            for r, m, a, b in zip((i + row[k]).tolist(), item[k].tolist(), first.tolist(), last.tolist(), strict=True):
+                waiting.append((r, m, d[a:b]))
+                if len(waiting) >= LOT:
+                    verify()
+        if waiting:
+            verify()
+        return [(r, m, x) for (r, m), x in sorted(best.items()) if x <= self.most[m]]
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: Params = Params()) -> DataFrame:
