@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.kit import BYTE_CODE, IS_SPACE, LOWER, MULT, passes, utf8
+from boxtrail.llm.kit import IS_SPACE, LOWER, passes, rolling, utf8
 
 #: Pairs that are verified together.
 LOT = 16_384
@@ -52,28 +52,6 @@ class Params:
         return 1 - (1 - equal**self.sample) ** (self.walks * self.tables)
 
 
-def rolling(data: np.ndarray, q: int) -> np.ndarray:
-    """Polynomial hashes of all stretches of q bytes, put together from those of powers of two."""
-    if len(data) < q:
-        return np.zeros(0, np.uint64)
-    block, size, factor = BYTE_CODE[data], 1, MULT
-    out, done = None, 0
-    while q:
-        if q & 1:
-            if out is None:
-                out = block
-            else:
-                n = len(data) - done - size + 1
-                out = out[:n] * factor + block[done : done + n]
-            done += size
-        q >>= 1
-        if q:
-            block = block[:-size] * factor + block[size:]
-            factor = np.uint64(pow(int(factor), 2, 1 << 64))
-            size *= 2
-    return out
-
-
 class Searcher:
     """Least edit distances between items and any stretch of a text, for many pairs at once: Myers' bit vectors of
     64-bit words, the first row held at 0 (Sellers), so that a match may begin anywhere."""

@@ -182,5 +182,23 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int = 5) -> tu
     return h[order], r[order]
 
 
-def blobs(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def rolling(data: np.ndarray, q: int) -> np.ndarray:
+    """Polynomial hashes of all stretches of q bytes, put together from those of powers of two."""
+    if len(data) < q:
+        return np.zeros(0, np.uint64)
+    block, size, factor = BYTE_CODE[data], 1, MULT
+    out, done = None, 0
+    while q:
+        if q & 1:
+            if out is None:
+                out = block
+            else:
+                n = len(data) - done - size + 1
+                out = out[:n] * factor + block[done : done + n]
+            done += size
+        q >>= 1
+        if q:
+            block = block[:-size] * factor + block[size:]
+            factor = np.uint64(pow(int(factor), 2, 1 << 64))
+            size *= 2
+    return out

@@ -45,6 +45,12 @@ OP3_SQL = (
 )
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boxtrail.llm import repeats
+
+    return repeats.digest(repeats.remove_repeats(documents(spark, sf_dir)))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxtrail.llm import media
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm": op2_lm,
     "op3_chat": op3_chat,
+    "op4_repeats": op4_repeats,
     "op5_media": op5_media,
     "op6_pii": op6_pii,
     "op7_jaccard_join": op7_jaccard_join,
