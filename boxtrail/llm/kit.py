@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,6 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _TRIM = None
+
 #: Bytes of text that one NumPy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
 
@@ -65,7 +71,18 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of an Arrow batch: whole texts, so that a batch is tens of MB at most for common lengths.
+BATCH_ROWS = 4000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -79,6 +96,14 @@ def shards(spark: SparkSession, weight: float, each: float) -> int:
     return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // each)))
 
 
+def tidy() -> None:
+    """Gives the memory of a finished batch back to the system: a Python worker lives on between tasks and stages, and
+    what its allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --- text buffers -------------------------------------------------------------------------------
 
 

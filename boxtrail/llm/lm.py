@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.kit import LOWER, drop_written, mix, passes, shards, utf8, word_hashes, words, written
+from boxtrail.llm.kit import LOWER, drop_written, mix, passes, shards, tidy, utf8, word_hashes, words, written
 
 #: The end token; white space keeps it apart from every word.
 END = "\n"
@@ -186,6 +186,8 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             t = pa.table({"token": pa.concat_arrays([x.field("values") for x in found]), "c": pa.concat_arrays([x.field("counts") for x in found])}).group_by("token").aggregate([("c", "sum")])
             for part in pa.table({"token": t["token"].cast(pa.string()), "c": t["c_sum"]}).to_batches(50_000):
                 yield part
+            del found, t
+            tidy()
 
     return texts.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from boxtrail.llm.kit import passes, utf8, word_hashes, words
+from boxtrail.llm.kit import passes, tidy, utf8, word_hashes, words, written
 from boxtrail.llm.toxicity import _logistic
 
 FEATURES = ("log words", "word length", "share of distinct words", "capitals among letters", "digits", "marks", "marks in a row", "bytes above 127", "share of distinct pairs", "share of the longest word", "words that end in a mark")
@@ -39,6 +39,10 @@ _MARK &= ~(_LETTER | _DIGIT)
 _HIGH[128:] = True
 
 
+#: The largest table of sites that is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
 @dataclass(frozen=True)
 class Params:
     per_class: int = 3000
@@ -137,14 +141,16 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, i
 def _evidence_column(model, text: Column) -> Column:
     @arrow_udf("double")
     def evidence(t: pa.Array) -> pa.Array:
-        return pa.array(model.value.evidence(shape(t)), pa.float64())
+        out = pa.array(model.value.evidence(shape(t)), pa.float64())
+        tidy()
+        return out
 
-    return evidence(text.cast("string"))
+    return evidence.asNondeterministic()(text.cast("string"))  # so that expressions over it share one evaluation
 
 
 def site_posteriors(scored: DataFrame, prior: float) -> DataFrame:
     """host, path, host_share, path_share from rows (host, path, p): shares of good text, shrunk by level."""
-    path = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
+    path = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")  # the texts are read once for it
     host = path.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("s").alias("s_host"))
 
     def spread(level: DataFrame, n: str, s: str) -> Column:
@@ -170,7 +176,9 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", host_col: str =
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.withColumns({"_evidence": _evidence_column(shared, F.col(text_col)), "_host": name(host_col), "_path": name(path_col)})
     own = 1 / (1 + F.exp(-(F.col("_evidence") + F.lit(log_prior))))
-    sites = site_posteriors(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), own.alias("p")), model.prior).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_share", "path_share")
+    sites = written(site_posteriors(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), own.alias("p")), model.prior).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_share", "path_share"), "sites")
+    size = sites.agg(F.sum(F.octet_length("_host") + F.octet_length("_path") + 64).alias("b")).first().b or 0
+    sites = F.broadcast(sites) if size <= BROADCAST_BYTES else sites  # beyond that, a shuffled join that AQE splits
     share = F.greatest(F.least(F.col("path_share"), F.lit(0.99)), F.lit(0.01))
     posterior = 1 / (1 + F.exp(-(F.col("_evidence") + F.log(share / (1 - share)))))
     out = rows.join(sites, ["_host", "_path"]).withColumns({"doc_score": own, "quality_score": posterior}).withColumn("keep", F.col("quality_score") >= threshold)

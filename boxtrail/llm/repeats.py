@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.kit import drop_written, mix, passes, rolling, shards, utf8, written
+from boxtrail.llm.kit import mix, passes, rolling, shards, tidy, utf8, written
 
 #: Stands for a null id, before all others.
 NO_ID = -(2**63)
@@ -130,6 +130,8 @@ def _send_anchors(texts: DataFrame, n_shards: int, p: Params) -> DataFrame:
                 used, local = np.unique(cols[0][a:b], return_inverse=True)
                 parts = [ids[used], tids[used], local.astype(np.int32), *(c[a:b] for c in cols[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in parts], ["shard", "id", "tid", "text", "place", "left", "right", "gram", "context"])
+            del got, cols, order, shard
+            tidy()
 
     return texts.mapInArrow(run, "shard int, id binary, tid binary, text binary, place binary, left binary, right binary, gram binary, context binary")
 
