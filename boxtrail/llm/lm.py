@@ -11,7 +11,7 @@ where c(h *) sums the pairs that the filter holds, so the probabilities of a con
 
 The filters' sizes are bounded by parameters, as a broadcast's must be. A slice that its shard's entries would overfill
 leaves out the lowest counts (as count cutoffs do in n-gram models); every text is scored whole all the same. The exact
-unigram score (base_score) needs every count: the `head` most frequent tokens are broadcast (a bounded table that covers
+unigram score (base_score) needs every count: the end and the `head` most frequent tokens are broadcast (a bounded table that covers
 most tokens, and every hot one), the rest are joined on the token.
 
 Tokens are words between white bytes, ASCII letters lowered, and one end after each text; the end is also the context of
@@ -280,7 +280,7 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
         Filter(_slices(pairs.where("kind = 0").select("shard", "keys").collect(), n_shards, pair_words), p.base_pair),
     ]
     drop_written(pairs)
-    top = vocab.orderBy(F.desc("c"), "token").limit(p.head).toArrow()
+    top = vocab.orderBy((F.col("token") == END).desc(), F.desc("c"), "token").limit(p.head).toArrow()
     h, c = _token_keys(top.column("token").combine_chunks()) if top.num_rows else np.zeros(0, np.uint64), top.column("c").to_numpy()
     order = np.argsort(h)
     return Model(*filters, h[order], c[order].astype(np.int64), n, v, p.mu), vocab
