@@ -539,6 +539,49 @@ def track_summary(spark, sf_dir):
     return analytics.track_summary(_tracked(spark, sf_dir, "sort", return_all=True))
 
 
+# --- chains -------------------------------------------------------------------------------------
+
+_CHAIN_SQL = f"""WITH q AS (SELECT frame_id % 2 AS tile_idx, frame_id, query_id, class_id, conf, x, y, least(w, 1 - x) AS w, least(h, 1 - y) AS h FROM ({_DECODE_SQL}) WHERE conf >= 0.02 AND class_id % 2 = 0)
+ SELECT frame_id, tile_idx * 1000000 + query_id AS det_id, CASE WHEN class_id = 0 THEN 'Person' WHEN class_id = 2 THEN 'Car' ELSE 'Class_' || class_id END AS class_name, round(x * 640 + CASE tile_idx WHEN 1 THEN 374 ELSE 0 END, 6) AS x, round(y * 640, 6) AS y, round(w * 640, 6) AS w, round(h * 640, 6) AS h FROM q"""
+
+
+def _chain(spark, sf_dir):
+    from boxtrail.config import DetectorConfig, PipelineConfig
+
+    raw = raw_predictions(spark, sf_dir).withColumns({"stream_id": F.lit(0).cast("long"), "tile_idx": (F.col("frame_id") % 2).cast("int")})
+    return raw, _labels(spark).where("class_id in (0, 2)"), 1014, 640, DetectorConfig(confidence=0.02), PipelineConfig(classes=list(range(0, 64, 2)))
+
+
+@query("tiled_detections", _CHAIN_SQL, "raw")
+def tiled_detections(spark, sf_dir):
+    """Model outputs of two tiles a frame, decoded, filtered, moved to the frame and named."""
+    from boxtrail.operators.pipeline import detect
+
+    return detect(*_chain(spark, sf_dir)).select("frame_id", "det_id", "class_name", *[_r(F.col(c), c) for c in "xywh"])
+
+
+@query("cleaned_detections")
+def cleaned_detections(spark, sf_dir):
+    from boxtrail.operators.pipeline import detect_and_clean
+
+    return detect_and_clean(*_chain(spark, sf_dir)).select("frame_id", "det_id", "class_name", *[_r(F.col(c), c) for c in "xywh"])
+
+
+@query("enriched_tracks", _GREEDY.replace("@MOST", "0.3") + "SELECT d.det_id, e.class_id, round(e.confidence, 6) AS confidence FROM d LEFT JOIN m ON m.t.l = d.det_id LEFT JOIN d e ON e.det_id = m.t.r WHERE d.class_id = 0", "d", recursive=True)
+def enriched_tracks(spark, sf_dir):
+    """Boxes of one class as tracks, those of the other as detections that they take class and confidence from."""
+    from boxtrail.operators.pipeline import enrich
+
+    return enrich(*_sides(spark, sf_dir)).select("det_id", "class_id", _r(F.col("confidence"), "confidence"))
+
+
+@query("overlay_lines", "SELECT stream_id, frame_id, 'Frame: ' || frame_id || ' # Tracks: ' || n || ' # Runs: ' || row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS line FROM (SELECT stream_id, frame_id, count(DISTINCT gt_id) AS n FROM s GROUP BY 1, 2)", "s")
+def overlay_lines(spark, sf_dir):
+    from boxtrail.operators.pipeline import overlay
+
+    return overlay(smooth(spark, sf_dir).withColumn("track_id", F.col("gt_id")))
+
+
 # --- streaming ----------------------------------------------------------------------------------
 
 

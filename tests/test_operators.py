@@ -88,3 +88,35 @@ def test_streams(spark, sf, tmp_path, mode):
         return
     query = live.live_sessions(live.source(spark, path, 1)) if mode == "sessions" else live.live_counts(live.source(spark, path, 1))
     assert live.run_to_table(query, mode).agg({"n": "sum"}).first()[0] == dense(spark, sf).count()
+
+
+def test_scorer_hook(spark):
+    import pandas as pd
+
+    from boxtrail.operators import pipeline
+
+    def make(shift):
+        return lambda frames: pd.DataFrame({"frame_id": frames.frame_id, "query_id": 0, "cx": 0.5 + shift, "cy": 0.5, "w": 0.1, "h": 0.1, "logits": [[0.0, 5.0]] * len(frames)})
+
+    pipeline.register_scorer("fixed", make)
+    got = pipeline.score_frames(spark.range(3).withColumnRenamed("id", "frame_id"), "fixed", shift=0.25).collect()
+    assert [(r.frame_id, r.cx, list(r.logits)) for r in sorted(got)] == [(i, 0.75, [0.0, 5.0]) for i in range(3)]
+
+
+def test_settings():
+    from boxtrail import config, errors
+
+    assert config.PipelineConfig().classes == [2, 3, 4, 7] and config.VIDEO_PIPELINE.overlap == 32
+    with pytest.raises(errors.ConfigError):
+        config.PipelineConfig(overlap=640)
+    with pytest.raises(errors.ConfigError):
+        config.require_keys({"path": 1})
+    assert config.method_name(config.TrackerConfig(kind="kalman")) == "Kalman Filter"
+    assert str(errors.InvalidDimensions([1], [2])) == "expected dimensions [1], got [2]"
+
+
+def test_files_by_suffix(spark):
+    from boxtrail.operators.pipeline import count_by_suffix
+
+    files = spark.createDataFrame([("a/x.JPG",), ("a/y.jpg",), ("b.c/z.png",), ("none",)], "path string")
+    assert {r.suffix: r.n for r in count_by_suffix(files).collect()} == {"jpg": 2, "png": 1, "": 1}
