@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,9 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     n, m = c.shape
     if not n:
         return []
+    first = c.argmin(1)
+    if len(np.unique(first)) == n:  # every row has its least cost to itself: nothing is cheaper
+        return sorted((int(j), i) if turned else (i, int(j)) for i, j in enumerate(first))
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64)
     for i in range(1, n + 1):
         owner[0], j0 = i, 0
@@ -80,16 +85,37 @@ def greedy_pairs(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def best_pairs(pairs: DataFrame, threshold: float = 0.3, method: str = "min") -> DataFrame:
-    """The same with an optimal assignment of cost 1 - iou; pairs hold every pair of a picture that overlaps."""
-
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = np.unique(rows.l_id), np.unique(rows.r_id)
-        cost = np.ones((len(left), len(right)))
-        cost[np.searchsorted(left, rows.l_id), np.searchsorted(right, rows.r_id)] = 1 - rows.iou
-        got = [(a, b) for a, b in solve(cost, 1 - threshold, method) if 1 - cost[a, b] > threshold]
-        return pd.DataFrame({"stream_id": keys[0], "frame_id": keys[1], "l_id": [left[a] for a, _ in got], "r_id": [right[b] for _, b in got], "iou": [1 - cost[a, b] for a, b in got]})
-
-    return pairs.groupBy(*FRAME).applyInPandas(run, "stream_id long, frame_id long, l_id long, r_id long, iou double")
+    """The same with an optimal assignment of cost 1 - iou; pairs hold every pair of a picture that overlaps. Pictures
+    come sorted, many to a batch, so a picture costs no call of its own."""
+
+    def solved(left: np.ndarray, right: np.ndarray, iou: np.ndarray) -> list[tuple[int, int, float]]:
+        a, i = np.unique(left, return_inverse=True)
+        b, j = np.unique(right, return_inverse=True)
+        cost = np.ones((len(a), len(b)))
+        cost[i, j] = 1 - iou
+        return [(int(a[x]), int(b[y]), 1 - cost[x, y]) for x, y in solve(cost, 1 - threshold, method) if 1 - cost[x, y] > threshold]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[np.ndarray] | None = None
+
+        def finish(columns: list[np.ndarray], to: int) -> pd.DataFrame:
+            stream, frame, left, right, iou = columns
+            cut = [0, *(np.flatnonzero((np.diff(stream[:to]) != 0) | (np.diff(frame[:to]) != 0)) + 1).tolist(), to]
+            out = [(stream[a], frame[a], *x) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a for x in solved(left[a:b], right[a:b], iou[a:b])]
+            return pd.DataFrame(out, columns=["stream_id", "frame_id", "l_id", "r_id", "iou"])
+
+        for batch in batches:
+            columns = [batch[c].to_numpy() for c in ("stream_id", "frame_id", "l_id", "r_id", "iou")]
+            columns = columns if kept is None else [np.concatenate(x) for x in zip(kept, columns, strict=True)]
+            last = np.flatnonzero((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]))[0]  # a picture that may go on
+            if last:
+                yield finish(columns, int(last))
+            kept = [c[last:] for c in columns]
+        if kept is not None:
+            yield finish(kept, len(kept[0]))
+
+    ordered = pairs.select(*FRAME, "l_id", "r_id", "iou").repartition(*FRAME).sortWithinPartitions(*FRAME, "l_id", "r_id")
+    return ordered.mapInPandas(run, "stream_id long, frame_id long, l_id long, r_id long, iou double")
 
 
 def unassigned(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:

@@ -231,30 +231,47 @@ class Tracker:
 TRACKS = "stream_id long, frame_id long, track_id long, x double, y double, w double, h double, det_id long, class_id long, confidence double, age long, hits long, hit_streak long, steps_since_update long, is_extrapolated boolean"
 
 
-def run_frame(tracker: Tracker, memory: dict[int, tuple], stream: int, frame: int, rows: pd.DataFrame | None) -> pd.DataFrame:
-    """A step with the detections of a frame (det_id, x, y, w, h, confidence, class_id; None: a frame without any).
-    memory: the last class and confidence of each track, forgotten with it."""
-    if rows is None or not len(rows):
-        got, ids, classes, scores = tracker.step(np.zeros((0, 5))), [], [], []
-    else:
-        x, y, w, h = (rows[c].to_numpy(float) for c in "xywh")
-        got = tracker.step(np.stack([x, y, x + w, y + h, rows.confidence.to_numpy(float)], 1))
-        ids, classes, scores = (rows[c].tolist() for c in ("det_id", "class_id", "confidence"))
-    for track, det in zip(tracker.n["id"].tolist(), tracker.n["det"].tolist(), strict=True):
-        if det >= 0:
-            memory[track] = (classes[det], scores[det])
-    alive = set(tracker.n["id"].tolist())
-    for track in [t for t in memory if t not in alive]:
-        del memory[track]
-    b, det = got["box"], got["det"].tolist()
-    known = [memory.get(t, (None, None)) for t in got["id"].tolist()]
-    return pd.DataFrame(
-        {
-            "stream_id": stream, "frame_id": frame, "track_id": got["id"], "x": b[:, 0], "y": b[:, 1], "w": b[:, 2] - b[:, 0], "h": b[:, 3] - b[:, 1],
-            "det_id": pd.array([ids[d] if d >= 0 else None for d in det], "Int64"), "class_id": pd.array([k[0] for k in known], "Int64"), "confidence": [k[1] for k in known],
-            "age": got["age"], "hits": got["hits"], "hit_streak": got["hit_streak"], "steps_since_update": got["since"], "is_extrapolated": got["since"] > 0,
-        }
-    )
+Rows = dict[str, np.ndarray]
+
+#: What a frame's detections hold.
+FIELDS = ("det_id", "class_id", "x", "y", "w", "h", "confidence")
+
+_NO_ROWS: Rows = {c: np.zeros(0) for c in FIELDS}
+
+
+def as_rows(batch: pd.DataFrame) -> Rows:
+    """Arrays of a batch; an unknown class is -1."""
+    return {c: batch[c].fillna(-1).to_numpy(np.int64) if c in ("det_id", "class_id") else batch[c].to_numpy(float) for c in FIELDS}
+
+
+def run_frame(tracker: Tracker, memory: dict[int, tuple[int, float]], stream: int, frame: int, rows: Rows) -> Rows:
+    """A step with the detections of a frame, as arrays by column of TRACKS. memory: the last class and confidence of each
+    track, forgotten with it."""
+    x, y, w, h = (rows[c] for c in "xywh")
+    got = tracker.step(np.stack([x, y, x + w, y + h, rows["confidence"]], 1))
+    alive, det = tracker.n["id"].tolist(), tracker.n["det"].tolist()
+    for track, d in zip(alive, det, strict=True):
+        if d >= 0:
+            memory[track] = (int(rows["class_id"][d]), float(rows["confidence"][d]))
+    if len(memory) > len(alive):
+        for track in set(memory).difference(alive):
+            del memory[track]
+    b, n, used = got["box"], len(got["id"]), got["det"]
+    known = [memory.get(t, (-1, np.nan)) for t in got["id"].tolist()]
+    ids = np.full(n, -1, np.int64)
+    ids[used >= 0] = rows["det_id"][used[used >= 0]]
+    return {
+        "stream_id": np.full(n, stream), "frame_id": np.full(n, frame), "track_id": got["id"], "x": b[:, 0], "y": b[:, 1], "w": b[:, 2] - b[:, 0], "h": b[:, 3] - b[:, 1], "det_id": ids, "seen": used >= 0,
+        "class_id": np.array([k[0] for k in known], np.int64), "confidence": np.array([k[1] for k in known], float), "age": got["age"], "hits": got["hits"], "hit_streak": got["hit_streak"], "steps_since_update": got["since"],
+    }
+
+
+def as_frame(done: list[Rows]) -> pd.DataFrame:
+    """The arrays of several frames as one batch of TRACKS."""
+    c = {k: np.concatenate([d[k] for d in done]) for k in done[0]}
+    c["det_id"] = pd.arrays.IntegerArray(c["det_id"], ~c.pop("seen"))
+    c["class_id"] = pd.arrays.IntegerArray(c["class_id"], c["class_id"] < 0)
+    return pd.DataFrame(c | {"is_extrapolated": c["steps_since_update"] > 0})[[x.split()[0] for x in TRACKS.split(", ")]]
 
 
 class StreamRunner:
@@ -264,28 +281,31 @@ class StreamRunner:
         self.config, self.stream = config, stream
         self.tracker, self.memory, self.last, self.open = Tracker(config), {}, None, None
 
-    def _run(self, frame: int, rows: pd.DataFrame | None) -> list[pd.DataFrame]:
+    def _run(self, frame: int, rows: Rows) -> list[Rows]:
         out = []
         gap = self.last + 1 if self.last is not None else frame
         while gap < frame and len(self.tracker):
-            out.append(run_frame(self.tracker, self.memory, self.stream, gap, None))
+            out.append(run_frame(self.tracker, self.memory, self.stream, gap, _NO_ROWS))
             gap += 1
         self.tracker.steps += frame - gap if gap < frame else 0  # steps with neither tracks nor detections
         out.append(run_frame(self.tracker, self.memory, self.stream, frame, rows))
         self.last = frame
         return out
 
-    def feed(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+    def feed(self, frames: np.ndarray, rows: Rows) -> list[Rows]:
+        """frames: the frame of each row, rising."""
         out = []
-        for frame, part in rows.groupby("frame_id", sort=True):
+        cut = np.flatnonzero(np.diff(frames)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(frames)], strict=True):
+            frame, part = int(frames[a]), {c: v[a:b] for c, v in rows.items()}
             if self.open is not None and self.open[0] == frame:
-                self.open = (frame, pd.concat([self.open[1], part]))
+                self.open = (frame, {c: np.concatenate((self.open[1][c], part[c])) for c in FIELDS})
                 continue
             out += self.finish()
-            self.open = (int(frame), part)
+            self.open = (frame, part)
         return out
 
-    def finish(self) -> list[pd.DataFrame]:
+    def finish(self) -> list[Rows]:
         if self.open is None:
             return []
         (frame, rows), self.open = self.open, None
@@ -294,23 +314,26 @@ class StreamRunner:
 
 def track(detections: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
     """Tracks (schema TRACKS) of detections (stream_id, frame_id, det_id, class_id, confidence, x, y, w, h)."""
-    columns = ["stream_id", "frame_id", "det_id", "class_id", "confidence", "x", "y", "w", "h"]
+    columns = ["stream_id", "frame_id", *FIELDS]
     have = detections if "class_id" in detections.columns else detections.withColumn("class_id", F.lit(None).cast("long"))
     ordered = have.select(*columns).where("stream_id is not null and frame_id is not null").repartition("stream_id").sortWithinPartitions("stream_id", "frame_id", "det_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runner: StreamRunner | None = None
         for batch in batches:
-            for stream, part in batch.groupby("stream_id", sort=True):
-                done = []
-                if runner is None or runner.stream != stream:
+            streams, frames, rows = batch.stream_id.to_numpy(np.int64), batch.frame_id.to_numpy(np.int64), as_rows(batch)
+            cut, done = np.flatnonzero(np.diff(streams)) + 1, []
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(streams)], strict=True):
+                if a == b:
+                    continue
+                if runner is None or runner.stream != streams[a]:
                     done += runner.finish() if runner else []
-                    runner = StreamRunner(config, int(stream))
-                done += runner.feed(part)
-                if done:
-                    yield pd.concat(done)
+                    runner = StreamRunner(config, int(streams[a]))
+                done += runner.feed(frames[a:b], {c: v[a:b] for c, v in rows.items()})
+            if done:
+                yield as_frame(done)
         if runner and (done := runner.finish()):
-            yield pd.concat(done)
+            yield as_frame(done)
 
     return ordered.mapInPandas(run, TRACKS)
 

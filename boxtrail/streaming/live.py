@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from boxtrail.operators.tracking import TRACKS, StreamRunner, Tracker, TrackerConfig
+from boxtrail.operators.tracking import TRACKS, StreamRunner, Tracker, TrackerConfig, as_frame, as_rows
 from boxtrail.sources.shared import shared_dir
 
 DETECTIONS = "stream_id long, frame_id long, ts timestamp, det_id long, class_id long, confidence double, x double, y double, w double, h double"
@@ -52,19 +52,20 @@ class TrackProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["frame_id", "det_id"])
         newest = runner.open[0] if runner.open else runner.last
         batch = batch if newest is None else batch[batch.frame_id >= newest]  # frames that were run already are late
-        done = runner.feed(batch) if len(batch) else []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if runner.open is not None:
-            self.handle.registerTimer(int(runner.open[1].ts.max().timestamp() * 1000) + 1)
+        done = []
+        if len(batch):
+            done = runner.feed(batch.frame_id.to_numpy("int64"), as_rows(batch))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(batch.ts.max().timestamp() * 1000) + 1)  # the frame that is still open
         self._save(runner)
-        yield pd.concat(done) if done else _EMPTY
+        yield as_frame(done) if done else _EMPTY
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         runner = self._load(int(key[0]))
         done = runner.finish()
         self._save(runner)
-        yield pd.concat(done) if done else _EMPTY
+        yield as_frame(done) if done else _EMPTY
 
     def close(self) -> None:
         pass

@@ -90,11 +90,28 @@ def test_one_track_for_an_object(spark, sf, kind):
 
 def test_batches_do_not_matter(spark, sf):
     s = smooth(spark, sf).where("stream_id = 0").orderBy("frame_id", "det_id").toPandas().assign(class_id=0)
+    frames, rows = s.frame_id.to_numpy(), t.as_rows(s)
     whole = t.StreamRunner(t.TrackerConfig(return_all=True), 0)
-    a = pd.concat(whole.feed(s) + whole.finish())
+    a = t.as_frame(whole.feed(frames, rows) + whole.finish())
     cut = t.StreamRunner(t.TrackerConfig(return_all=True), 0)
-    b = pd.concat([x for i in range(0, len(s), 7) for x in cut.feed(s.iloc[i : i + 7])] + cut.finish())
-    pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True), check_dtype=False)
+    b = t.as_frame([x for i in range(0, len(s), 7) for x in cut.feed(frames[i : i + 7], {c: v[i : i + 7] for c, v in rows.items()})] + cut.finish())
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_best_pairs_by_picture(spark, sf):
+    from boxtrail.operators.assign import best_pairs
+    from boxtrail.operators.pairs import pair_join
+    from boxtrail.sources.detections import dense
+
+    d = dense(spark, sf)
+    pairs = pair_join(d.where("class_id = 0"), d.where("class_id = 1"))
+    got = best_pairs(pairs, 0.1).toPandas()
+    assert not got.duplicated(["stream_id", "frame_id", "l_id"]).any() and not got.duplicated(["stream_id", "frame_id", "r_id"]).any()
+    for key, part in list(pairs.toPandas().groupby(["stream_id", "frame_id"]))[:12]:
+        cost = (1 - part.pivot(index="l_id", columns="r_id", values="iou")).fillna(1.0).to_numpy()
+        mine = got[(got.stream_id == key[0]) & (got.frame_id == key[1])]
+        whole = np.where(cost <= 0.9, np.trunc(cost * 1000), 1_000_000)
+        assert np.trunc((1 - mine.iou) * 1000).sum() + 1_000_000 * (min(cost.shape) - len(mine)) == pytest.approx(best(whole), abs=len(mine))
 
 
 def test_stream_equals_batch(spark, sf):
