@@ -66,7 +66,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxtrail.llm import jaccard
 
-    return jaccard.classes(documents(spark, sf_dir))
+    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
