@@ -51,6 +51,19 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(documents(spark, sf_dir)))
 
 
+OP4_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+ w AS (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM b),
+ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY b[i + 1:i + 100] ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+ m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
+ s AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM g GROUP BY doc_id, run),
+ p AS (SELECT s.doc_id, s, e, b, coalesce(lag(e) OVER (PARTITION BY s.doc_id ORDER BY s), 0) AS before FROM s JOIN b USING (doc_id)),
+ k AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1:s]), '' ORDER BY s) || hex(any_value(b)[max(e) + 1:]) AS kept FROM p GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)
+"""
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxtrail.llm import media
 
@@ -116,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_chat": OP3_SQL,
+    "op4_repeats": OP4_SQL,
     "op7_jaccard_join": OP7_SQL,
 }
