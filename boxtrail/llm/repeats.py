@@ -11,12 +11,15 @@ over a corpus, and only what can reach `length` bytes is looked at:
    of each asks for its bytes.
 3. Those contexts meet by gram. All their windows are put in suffix order: equal ones stand together, ordered by place,
    checked byte by byte, and a window has an earlier match if a smaller place precedes or follows it in its block (`earlier`).
+   Grams that a sample of `sample_docs` texts shows to stand in `hot` places or more go another way in both steps: as rows
+   whose smallest place is an aggregate (combined before the shuffle) and that a splittable join holds against it, so no
+   task meets all places of one gram. The way decides how the work is dealt, not the result.
 4. Covered stretches return to their documents, are merged and cut out.
 
 Places are ordered by id (nulls first), then by text, then by offset. Documents of equal text are one text that starts at
 the smallest id; at any other id it is removed whole if it has `length` bytes. Rows that repeat both id and text are one
 document and get equal results. Null and empty texts have no bytes. Strings are judged on the input. Other columns
-aren't read; an empty table gives an empty one. Texts are told apart by 64-bit hashes and windows by their bytes.
+aren't read; an empty table gives an empty one. Texts are told apart by 64-bit hashes and windows by their bytes (those of hot grams by two 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ class Params:
     gram: int = 32
     anchors_per_shard: int = 1_000_000
     contexts_per_shard: int = 50_000
+    sample_docs: int = 20_000
+    hot: int = 200_000
 
     @property
     def span(self) -> int:
@@ -101,8 +106,81 @@ def _runs(order_key: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], order_key[1:] != order_key[:-1])) if len(order_key) else np.zeros(0, bool)
 
 
-def _send_anchors(texts: DataFrame, n_shards: int, p: Params) -> DataFrame:
-    """Blobs by shard: of texts (id, tid), and of anchors (text in the blob, place, bytes before and after it, hashes)."""
+def _hot_grams(texts: DataFrame, rows: int, p: Params) -> np.ndarray:
+    """Hashes of grams that seem to stand in p.hot places or more, sorted: at most a share of the sample's anchors."""
+    step = max(1, rows // p.sample_docs)
+    least = max(2, -(-p.hot // step))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            got = [anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p)[2] for i, j in passes(offsets)]
+            gram, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for a in range(0, len(gram), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(gram[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000], pa.int64())], ["gram", "n"])
+            tidy()
+
+    part = texts.where(F.pmod(F.xxhash64("t"), F.lit(step)) == 0)
+    found = part.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.gram for r in found.select("gram").collect()], np.int64).view(np.uint64))
+
+
+def _is_hot(gram: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(gram), bool)
+    return hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
+
+
+def _hot_matches(texts: DataFrame, hot: np.ndarray, p: Params) -> DataFrame:
+    """_FOUND for hot grams: all but the first place of a context are covered, the first ones ask for their bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tids = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = utf8(batch.column(2))
+            for i, j in passes(offsets):
+                at = offsets[i : j + 1] - offsets[i]
+                place, row, gram, context = anchors(data[offsets[i] : offsets[j]], at, p)
+                on = _is_hot(gram, shared.value)
+                place, row, gram, context = place[on], row[on], gram[on], context[on]
+                inside = place - at[row]
+                left, right = np.minimum(inside, p.before), np.minimum(at[row + 1] - place, p.length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), ids[i + row], tids[i + row], inside.astype(np.int32), (inside - left).astype(np.int32), (inside + right).astype(np.int32))], ["gram", "context", "id", "tid", "place", "begin", "end"])
+            tidy()
+
+    rows = texts.mapInArrow(run, "gram long, context long, id long, tid long, place int, begin int, end int")
+    rows = written(rows.groupBy("gram", "context", "tid", "place", "begin", "end").agg(F.min("id").alias("id")), "hot")  # copies of a text are one
+    first = rows.groupBy("gram", "context").agg(F.min(F.struct("id", "tid", "place")).alias("first"))
+    known = rows.join(first, ["gram", "context"]).withColumn("is_first", F.struct("id", "tid", "place") == F.col("first"))
+    covered = known.where(~F.col("is_first") & (F.col("end") - F.col("begin") >= p.length)).select(F.lit(0).alias("kind"), "tid", "id", F.col("begin").alias("place"), "end", "gram")
+    return covered.unionByName(known.where("is_first").select(F.lit(2).alias("kind"), "tid", "id", "place", F.col("place").alias("end"), "gram"))
+
+
+def _hot_windows(asked: DataFrame, p: Params) -> DataFrame:
+    """(tid, place, end) of windows around hot grams that start earlier too. asked as for _send_contexts()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(batch.num_rows):
+                text = np.frombuffer(batch.column(2)[x].as_py().encode(), np.uint8)
+                centers = np.unique(np.array([w["place"] for w in batch.column(3)[x].as_py()], np.int64))
+                start = np.unique((centers[:, None] - np.arange(p.span)).ravel())
+                start = start[(start >= 0) & (start + p.length <= len(text))]
+                one, two = rolling(text, p.length), rolling(text[::-1], p.length)[::-1]
+                doc = batch.column(0)[x].as_py()
+                n = len(start)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(one[start]).view(np.int64)), pa.array(two[start].view(np.int64)), pa.array(np.full(n, NO_ID if doc is None else doc)), pa.array(np.full(n, batch.column(1)[x].as_py())), pa.array(start.astype(np.int32))], ["k1", "k2", "id", "tid", "place"])
+
+    rows = written(asked.mapInArrow(run, "k1 long, k2 long, id long, tid long, place int").distinct(), "windows")
+    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "tid", "place")).alias("first"))
+    return rows.join(first, ["k1", "k2"]).where(F.struct("id", "tid", "place") > F.col("first")).select("tid", "place", (F.col("place") + p.length).cast("int").alias("end"))
+
+
+def _send_anchors(texts: DataFrame, hot: np.ndarray, n_shards: int, p: Params) -> DataFrame:
+    """Blobs by shard: of texts (id, tid), and of anchors that aren't hot (text in the blob, place, bytes before and after
+    it, hashes)."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +200,8 @@ def _send_anchors(texts: DataFrame, n_shards: int, p: Params) -> DataFrame:
             if not got:
                 continue
             cols = [np.concatenate([g[x] for g in got]) for x in range(6)]
+            cold = ~_is_hot(cols[4], shared.value)
+            cols = cols if cold.all() else [c[cold] for c in cols]
             shard = (cols[4] >> np.uint64(24)) % np.uint64(n_shards)
             order = np.argsort(shard, kind="stable")
             cols, shard = [c[order] for c in cols], shard[order]
@@ -305,15 +385,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tid"), text.alias("t"))
-    size = texts.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
+    total = texts.agg(F.sum(F.octet_length("t")).alias("b"), F.count("*").alias("n")).first()
     long = texts.where(F.octet_length("t") >= p.length)
-    blobs = _send_anchors(long, shards(spark, size / p.span * 2, p.anchors_per_shard), p)
-    found = written(blobs.groupBy("shard").applyInArrow(_match_anchors(p), _FOUND), "found")
-    wanted = found.where("kind = 1").groupBy("tid", F.col("id").alias("first")).agg(F.collect_list(F.struct("place", "gram")).alias("wanted"))
-    n_asked = found.where("kind = 1").count()
-    asked = long.join(wanted, "tid").where(F.coalesce("id", F.lit(NO_ID)) == F.col("first")).select("id", "tid", "t", "wanted")
-    contexts = _send_contexts(asked, shards(spark, n_asked, p.contexts_per_shard), p)
-    more = written(contexts.groupBy("shard").applyInArrow(_match_contexts(p), "tid long, place int, end int"), "covered")
+    hot = _hot_grams(long, total.n, p)
+    blobs = _send_anchors(long, hot, shards(spark, (total.b or 0) / p.span * 2, p.anchors_per_shard), p)
+    found = blobs.groupBy("shard").applyInArrow(_match_anchors(p), _FOUND)
+    found = written(found.unionByName(_hot_matches(long, hot, p)) if len(hot) else found, "found")
+
+    def asked(kind: int) -> DataFrame:
+        """id, tid, t and the places whose bytes are asked for, at the text's first id."""
+        wanted = found.where(F.col("kind") == kind).groupBy("tid", F.col("id").alias("first")).agg(F.collect_list(F.struct("place", "gram")).alias("wanted"))
+        return long.join(wanted, "tid").where(F.coalesce("id", F.lit(NO_ID)) == F.col("first")).select("id", "tid", "t", "wanted")
+
+    contexts = _send_contexts(asked(1), shards(spark, found.where("kind = 1").count(), p.contexts_per_shard), p)
+    more = contexts.groupBy("shard").applyInArrow(_match_contexts(p), "tid long, place int, end int")
+    more = written(more.unionByName(_hot_windows(asked(2), p)) if len(hot) else more, "covered")
     covered = found.where("kind = 0").select("tid", "place", "end").unionByName(more).groupBy("tid").agg(F.collect_list(F.struct("place", "end")).alias("covered"))
     firsts = long.groupBy("tid").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("first"))
     about = firsts.join(covered, "tid", "left")

@@ -163,22 +163,23 @@ def removed(rows, length):
     return [out[d, t or ""] for d, t, *_ in rows]
 
 
-@pytest.mark.parametrize("length", [100, 48])
-def test_repeats(docs, empty, length):
+@pytest.mark.parametrize(("length", "hot"), [(100, 200_000), (48, 200_000), (100, 2), (100, 6)])
+def test_repeats(docs, empty, length, hot):
     # rows of one id and several texts are ordered by a hash of the text; the fixture's null ids share no string
     rows = [r for r in ROWS if r[0] is not None]
-    p = repeats.Params(length=length, gram=length // 3)
+    p = repeats.Params(length=length, gram=length // 3, hot=hot)
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs.where("doc_id is not null"), params=p).collect())
     assert got == sorted(removed(rows, length))
     assert repeats.remove_repeats(empty, params=p).count() == 0
     assert repeats.remove_repeats(docs, params=p).count() == len(ROWS)
 
 
-def test_repeats_random(spark):
+@pytest.mark.parametrize("hot", [200_000, 5])
+def test_repeats_random(spark, hot):
     rnd = random.Random(11)
     pool = ["".join(rnd.choice("abc") for _ in range(rnd.randint(10, 90))) for _ in range(30)]
     rows = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) if rnd.random() < 0.9 else rnd.choice("ab") * rnd.randint(0, 300)) for i in range(300)]
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), params=repeats.Params(hot=hot)).collect())
     assert got == sorted(removed(rows, 100))
 
 
