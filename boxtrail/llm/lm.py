@@ -40,7 +40,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Params:
-    head: int = 1 << 19
+    head: int = 1 << 18
     mu: float = 1000.0
     base_single: float = 1.15
     base_pair: float = 1.5
@@ -219,10 +219,12 @@ def _gathered(table: pa.Table, kind: type = np.uint32) -> tuple[np.ndarray, np.n
     return _sum_sorted(np.concatenate(key), np.concatenate(count))
 
 
-def _slices(rows: list, n: int, words_in_slice: int) -> np.ndarray:
+def _slices(made: DataFrame, n: int, words_in_slice: int) -> np.ndarray:
+    """The slices (shard, keys) side by side; they come a partition at a time, so the driver holds them once."""
     out = np.zeros((n, words_in_slice), np.uint64)
-    for r in rows:
+    for r in written(made, "slices").toLocalIterator():
         out[r.shard] = np.frombuffer(r.keys, np.uint64)
+    tidy()
     return out
 
 
@@ -275,9 +277,9 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
     singles = vocab.mapInArrow(vocabulary_blobs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(single_slice(single_words), "shard int, keys binary")
     # the three filters are at most pair_bytes + context_bytes + single_bytes
     filters = [
-        Filter(_slices(singles.collect(), n_shards, single_words), p.base_single),
-        Filter(_slices(contexts.collect(), n_shards, context_words), p.base_single),
-        Filter(_slices(pairs.where("kind = 0").select("shard", "keys").collect(), n_shards, pair_words), p.base_pair),
+        Filter(_slices(singles, n_shards, single_words), p.base_single),
+        Filter(_slices(contexts, n_shards, context_words), p.base_single),
+        Filter(_slices(pairs.where("kind = 0").select("shard", "keys"), n_shards, pair_words), p.base_pair),
     ]
     drop_written(pairs)
     top = vocab.orderBy((F.col("token") == END).desc(), F.desc("c"), "token").limit(p.head).toArrow()

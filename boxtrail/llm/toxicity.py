@@ -83,16 +83,16 @@ def _logistic(value: np.ndarray, col: np.ndarray, row: np.ndarray, size: int, y:
 
 def _fit_once(ids: list[np.ndarray], y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     size = 1 << p.bits
-    flat, row = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    pos = np.bincount(flat, weights=y[row], minlength=size) + p.alpha
-    neg = np.bincount(flat, minlength=size) + 2 * p.alpha - pos
+    pos, neg = np.full(size, p.alpha), np.full(size, p.alpha)
+    for x, toxic in zip(ids, y > 0, strict=True):
+        (pos if toxic else neg)[x] += 1
     r = np.log(pos / (y.sum() + 2 * p.alpha)) - np.log(neg / ((1 - y).sum() + 2 * p.alpha))
     r[np.abs(r) < p.errors * np.sqrt(1 / pos + 1 / neg)] = 0
     used = np.flatnonzero(r)
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    at = place[flat] >= 0
-    col, row = place[flat[at]], row[at]
+    at = [k[k >= 0] for k in (place[x] for x in ids)]  # few features pass, so only theirs are put side by side
+    col, row = np.concatenate(at), np.repeat(np.arange(len(ids)), [len(k) for k in at])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     beta, b = _logistic(r[used][col], col, row, len(used), y, weight, p.l2, p.steps)
     w = np.zeros(size)
