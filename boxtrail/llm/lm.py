@@ -3,15 +3,15 @@
 Counts of all training tokens and token pairs are gathered from the whole corpus: pairs travel as sorted arrays of hashes,
 combined in each task, to shards that grow in number with the tokens. A count c becomes the level 1 + floor(log_b c);
 the filter holds the n-gram once for each level up to its own, so probing level after level until one is missing gives
-the count back, quantised. Three filters (tokens, contexts, pairs) are built in slices by shard and broadcast.
+the count back, quantised. Three filters (tokens, contexts, pairs) are built in slices by shard.
 
     P(w | h) = (c(h w) + mu * P1(w)) / (c(h *) + mu),   P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
-where c(h *) sums the pairs that the filter holds, so the probabilities of a context add up to 1 but for quantisation.
+where c(h *) sums the pairs of a context, so the probabilities of a context add up to 1 but for quantisation.
 
-The filters' sizes are bounded by parameters, as a broadcast's must be. A slice that its shard's entries would overfill
-leaves out the lowest counts (as count cutoffs do in n-gram models); every text is scored whole all the same. The exact
-unigram score (base_score) needs every count: the end and the `head` most frequent tokens are broadcast (a bounded table that covers
+Every slice has room for all entries of its shard, so the filters grow with the tokens and pairs and no count is left out.
+Slices of consecutive shards go out in blocks of at most about `block_bytes`, a broadcast each. A worker holds one block at
+a time: of several, it takes each in turn for a lot of texts (a batch, or `lot_bytes` of it). The exact unigram score (base_score) needs every count: the end and the `head` most frequent tokens are broadcast (a bounded table that covers
 most tokens, and every hot one), the rest are joined on the token.
 
 Tokens are words between white bytes, ASCII letters lowered, and one end after each text; the end is also the context of
@@ -22,15 +22,16 @@ as often as they stand there. An empty training set scores 0 counts everywhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.kit import LOWER, drop_written, mix, passes, shards, tidy, utf8, word_hashes, words, written
+from boxtrail.llm.kit import LOWER, PASS_BYTES, drop_written, mix, passes, shards, tidy, utf8, word_hashes, words, written
 
 #: The end token; white space keeps it apart from every word.
 END = "\n"
@@ -45,10 +46,9 @@ class Params:
     base_single: float = 1.15
     base_pair: float = 1.5
     bits_per_entry: int = 12
-    single_bytes: int = 16 << 20
-    context_bytes: int = 8 << 20
-    pair_bytes: int = 40 << 20
     pairs_per_shard: int = 2_000_000
+    block_bytes: int = 64 << 20
+    lot_bytes: int = 16 << 20
 
 
 # --- the filter ---------------------------------------------------------------------------------
@@ -65,19 +65,24 @@ def from_level(level: np.ndarray, base: float) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
-def _entry(key: np.ndarray, level: np.ndarray, words_in_slice: int) -> tuple[np.ndarray, np.ndarray]:
+def _entry(key: np.ndarray, level: np.ndarray, words_in_slice: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word of the slice and bits in it, for a key at a level."""
     h = mix(key + level.astype(np.uint64) * _GOLD)
     bits = np.zeros(len(h), np.uint64)
     for i in range(5):
         bits |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
-    return ((h >> np.uint64(30)) % np.uint64(words_in_slice)).astype(np.int64), bits
+    return ((h >> np.uint64(30)) % np.asarray(words_in_slice, np.uint64)).astype(np.int64), bits
 
 
 def shard_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((mix(key ^ _GOLD) >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
+def words_for(count: np.ndarray, base: float, bits_per_entry: int) -> int:
+    """Words of a slice that holds keys of these counts, all of them, with some room to spare."""
+    return int(levels(count, base).sum() * bits_per_entry * 1.3 / 64) + 1
+
+
 def build_slice(key: np.ndarray, count: np.ndarray, words_in_slice: int, base: float, bits_per_entry: int) -> tuple[np.ndarray, np.ndarray]:
     """A slice with the keys, highest counts first while they fit; which keys it holds."""
     level = levels(count, base)
@@ -97,34 +102,42 @@ def build_slice(key: np.ndarray, count: np.ndarray, words_in_slice: int, base: f
 
 
 class Filter:
-    """All slices side by side; counts come back by probing."""
+    """Slices of consecutive shards, of n in all, side by side; counts come back by probing."""
 
-    def __init__(self, slices: np.ndarray, base: float):
-        self.slices, self.base = slices, base
+    def __init__(self, slices: list[np.ndarray] | np.ndarray, base: float, first: int = 0, n: int | None = None):
+        self.flat, self.size = np.concatenate(list(slices)), np.array([len(x) for x in slices], np.int64)
+        self.base, self.first, self.n = base, first, n or len(slices)
 
     def counts(self, key: np.ndarray) -> np.ndarray:
-        n, size = self.slices.shape
-        level, open_ = np.zeros(len(key), np.int64), np.arange(len(key))
-        flat, first = self.slices.ravel(), shard_of(key, n) * size
+        """The counts of keys of these shards; 0 for keys of others."""
+        shard = shard_of(key, self.n) - self.first
+        level, open_ = np.zeros(len(key), np.int64), np.flatnonzero((shard >= 0) & (shard < len(self.size)))
+        begin = np.cumsum(self.size) - self.size
         j = 0
         while len(open_):
             j += 1
-            at, bits = _entry(key[open_], np.full(len(open_), j), size)
-            open_ = open_[(flat[first[open_] + at] & bits) == bits]
+            at, bits = _entry(key[open_], np.full(len(open_), j), self.size[shard[open_]])
+            open_ = open_[(self.flat[begin[shard[open_]] + at] & bits) == bits]
             level[open_] = j
         return from_level(level, self.base)
 
 
 @dataclass
-class Model:
+class Block:
     tokens: Filter
     contexts: Filter
     pairs: Filter
+
+
+@dataclass
+class Model:
+    blocks: list[Broadcast]  # of Block
     head_hash: np.ndarray
     head_count: np.ndarray
     n: int
     v: int
     mu: float
+    lot_bytes: int
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -219,12 +232,29 @@ def _gathered(table: pa.Table, kind: type = np.uint32) -> tuple[np.ndarray, np.n
     return _sum_sorted(np.concatenate(key), np.concatenate(count))
 
 
-def _slices(made: DataFrame, n: int, words_in_slice: int) -> np.ndarray:
-    """The slices (shard, keys) side by side; they come a partition at a time, so the driver holds them once."""
-    out = np.zeros((n, words_in_slice), np.uint64)
-    for r in written(made, "slices").toLocalIterator():
-        out[r.shard] = np.frombuffer(r.keys, np.uint64)
-    tidy()
+def _blocks(made: list[DataFrame], bases: list[float], n: int, block_bytes: int) -> list[Broadcast]:
+    """Broadcasts of the slices (shard, keys) of the filters, shard by shard while they fit; the driver holds a block at a time."""
+    spark = made[0].sparkSession
+    total = np.zeros(n, np.int64)
+    for df in made:
+        for r in df.select("shard", F.octet_length("keys").alias("size")).collect():
+            total[r.shard] += r.size
+    cut = [0]
+    for shard in range(1, n):
+        if total[cut[-1] : shard + 1].sum() > block_bytes:
+            cut.append(shard)
+    out = []
+    for a, b in zip(cut, [*cut[1:], n], strict=True):
+        filters = []
+        for df, base in zip(made, bases, strict=True):
+            slices = [np.zeros(1, np.uint64)] * (b - a)
+            for r in df.where((F.col("shard") >= a) & (F.col("shard") < b)).toLocalIterator():
+                slices[r.shard - a] = np.frombuffer(r.keys, np.uint64)
+            filters.append(Filter(slices, base, a, n))
+            del slices
+        out.append(spark.sparkContext.broadcast(Block(*filters)))
+        del filters
+        tidy()
     return out
 
 
@@ -236,13 +266,11 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v or 0
     n_shards = shards(spark, n, p.pairs_per_shard)
-    size = lambda most, entries: max(1, min(most, int(entries * p.bits_per_entry / 8 * 1.3) + 4096) // 8 // n_shards)
-    pair_words, context_words, single_words = size(p.pair_bytes, n), size(p.context_bytes, 8 * v), size(p.single_bytes, 8 * v)
 
     def pair_slice(table: pa.Table) -> pa.Table:
         key, count = _gathered(table)
-        out, kept = build_slice(key, count, pair_words, p.base_pair, p.bits_per_entry)
-        held, total = _sum_sorted(context_key(key[kept]), count[kept])
+        out, _ = build_slice(key, count, words_for(count, p.base_pair, p.bits_per_entry), p.base_pair, p.bits_per_entry)
+        held, total = _sum_sorted(context_key(key), count)
         to = shard_of(held, n_shards)
         order = np.argsort(to, kind="stable")
         held, total, to = held[order], total[order], to[order]
@@ -257,13 +285,10 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
             }
         )
 
-    def single_slice(words_in_slice: int):
-        def run(table: pa.Table) -> pa.Table:
-            key, count = _gathered(table, np.int64)
-            out, _ = build_slice(key, count, words_in_slice, p.base_single, p.bits_per_entry)
-            return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([out.tobytes()], pa.binary())})
-
-        return run
+    def single_slice(table: pa.Table) -> pa.Table:
+        key, count = _gathered(table, np.int64)
+        out, _ = build_slice(key, count, words_for(count, p.base_single, p.bits_per_entry), p.base_single, p.bits_per_entry)
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([out.tobytes()], pa.binary())})
 
     def vocabulary_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,19 +298,15 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([key[shard == s].tobytes()], pa.binary()), pa.array([count[shard == s].astype(np.int64).tobytes()], pa.binary())], ["shard", "keys", "counts"])
 
     pairs = written(_pair_blobs(texts, n_shards).groupBy("shard").applyInArrow(pair_slice, "kind int, shard int, keys binary, counts binary"), "pairs")
-    contexts = pairs.where("kind = 1").groupBy("shard").applyInArrow(single_slice(context_words), "shard int, keys binary")
-    singles = vocab.mapInArrow(vocabulary_blobs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(single_slice(single_words), "shard int, keys binary")
-    # the three filters are at most pair_bytes + context_bytes + single_bytes
-    filters = [
-        Filter(_slices(singles, n_shards, single_words), p.base_single),
-        Filter(_slices(contexts, n_shards, context_words), p.base_single),
-        Filter(_slices(pairs.where("kind = 0").select("shard", "keys"), n_shards, pair_words), p.base_pair),
-    ]
+    contexts = pairs.where("kind = 1").groupBy("shard").applyInArrow(single_slice, "shard int, keys binary")
+    singles = vocab.mapInArrow(vocabulary_blobs, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(single_slice, "shard int, keys binary")
+    made = [written(singles, "slices"), written(contexts, "slices"), pairs.where("kind = 0").select("shard", "keys")]
+    blocks = _blocks(made, [p.base_single, p.base_single, p.base_pair], n_shards, p.block_bytes)
     drop_written(pairs)
     top = vocab.orderBy((F.col("token") == END).desc(), F.desc("c"), "token").limit(p.head).toArrow()
     h, c = _token_keys(top.column("token").combine_chunks()) if top.num_rows else np.zeros(0, np.uint64), top.column("c").to_numpy()
     order = np.argsort(h)
-    return Model(*filters, h[order], c[order].astype(np.int64), n, v, p.mu), vocab
+    return Model(blocks, h[order], c[order].astype(np.int64), n, v, p.mu, p.lot_bytes), vocab
 
 
 def _token_keys(tokens: pa.Array) -> np.ndarray:
@@ -302,8 +323,21 @@ def _token_keys(tokens: pa.Array) -> np.ndarray:
 
 
 class Scorer:
-    def __init__(self, m: Model):
-        self.m = m
+    def __init__(self, m: Model, blocks: list[Broadcast]):
+        self.m, self.blocks = m, blocks
+        #: one block stays in memory; of several, each is read anew for every lot
+        self.only = blocks[0].value if len(blocks) == 1 else None
+        self.limit = PASS_BYTES if self.only else m.lot_bytes
+
+    def _counts(self, token: np.ndarray, context: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+        """Counts by all blocks; a key's shard lies in one of them."""
+        out = [np.zeros(len(k)) for k in (token, context, pair)]
+        for shared in self.blocks:
+            block = self.only or (shared.load_from_path(shared._path) if getattr(shared, "_path", None) else shared.value)
+            for total, f, key in zip(out, (block.tokens, block.contexts, block.pairs), (token, context, pair), strict=True):
+                total += f.counts(key)
+            del block
+        return out
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
         """By row: tokens, those in the head, the head's part of the unigram sum, the model's log10 probability; and the
@@ -314,14 +348,13 @@ class Scorer:
         spot = np.minimum(np.searchsorted(m.head_hash, uniq), max(len(m.head_hash) - 1, 0))
         exact = np.where(m.head_hash[spot] == uniq, m.head_count[spot], 0)[inv] if len(m.head_hash) else np.zeros(len(h), np.int64)
         in_head = exact > 0
-        p1 = ((m.tokens.counts(uniq) + 0.1) / (m.n + 0.1 * (m.v + 1)))[inv]
-        ctx = m.contexts.counts(context_key(uniq))[inv]
-        before = np.empty_like(ctx)
-        before[1:] = ctx[:-1]
-        before[:1] = m.contexts.counts(context_key(np.array([END_HASH])))
-        known = np.flatnonzero(before > 0)
-        pair = np.zeros(len(h))
-        pair[known] = m.pairs.counts(pair_keys(h, r)[known])
+        pairs, pair_at = np.unique(pair_keys(h, r), return_inverse=True)
+        token, context, pair = self._counts(uniq, context_key(np.append(uniq, END_HASH)), pairs)
+        p1 = ((token + 0.1) / (m.n + 0.1 * (m.v + 1)))[inv]
+        before = np.empty(len(h))
+        before[1:] = context[inv[:-1]]
+        before[:1] = context[-1]
+        pair = np.where(before > 0, pair[pair_at], 0.0)
         logp = np.log10((np.minimum(pair, before) + m.mu * p1) / (before + m.mu))
         by_row = lambda w: np.bincount(r, weights=w, minlength=n)
         tail = np.flatnonzero(~in_head[place])
@@ -331,15 +364,16 @@ class Scorer:
 def score(docs: DataFrame, model: Model, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    blocks = model.blocks
+    shared = spark.sparkContext.broadcast(replace(model, blocks=[]))
     kind = docs.schema[id_col].dataType.simpleString()
     tail_type = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, blocks)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in passes(offsets):
+            for i, j in passes(offsets, scorer.limit):
                 d = data[offsets[i] : offsets[j]]
                 n_tokens, n_head, base, total, (starts, ends, row) = scorer(d, offsets[i : j + 1] - offsets[i])
                 t = pa.table({"row": row, "token": _strings(d, starts, ends).cast(pa.string()), "k": np.ones(len(row), np.int64)}).group_by(["row", "token"]).aggregate([("k", "sum")]).sort_by("row")

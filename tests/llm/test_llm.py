@@ -117,6 +117,31 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert out[0] > out[1]
 
 
+def test_lm_holds_every_count_in_blocks_that_grow(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.4)) % 5000}" for _ in range(200))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores = {}
+    for size in (1 << 26, 1 << 12):
+        p = lm.Params(block_bytes=size, lot_bytes=5000, pairs_per_shard=500)
+        model, vocab = lm.train(d.select("text"), p)
+        blocks = [b.value for b in model.blocks]
+        assert (len(blocks) > 5) == (size < 1 << 20)
+        pairs, single = collections.Counter(), collections.Counter()
+        for _, t in rows:
+            data, at = kit.utf8(pa.array([t]))
+            h, r, *_ = lm.token_hashes(data, at)
+            pairs.update(lm.pair_keys(h, r).tolist())
+            single.update(h.tolist())
+        for count, base, filters in ((pairs, 1.5, [b.pairs for b in blocks]), (single, 1.15, [b.tokens for b in blocks]), (collections.Counter({int(lm.context_key(np.array([h], np.uint64))[0]): c for h, c in single.items()}), 1.15, [b.contexts for b in blocks])):
+            key, c = np.array(list(count), np.uint64), np.array(list(count.values()))
+            got, want = sum(f.counts(key) for f in filters), lm.from_level(lm.levels(c, base), base)
+            assert (got >= want).all() and (got == want).mean() > 0.97
+        scores[size] = sorted((r.doc_id, r.score) for r in lm.score(d, model, vocab).collect())
+    one, many = scores.values()
+    assert np.allclose(one, many)
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
