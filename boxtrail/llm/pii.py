@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, leftmost and non-overlapping for each kind; validators confirm them: Luhn's digits
 for cards, the mod-97 remainder for IBANs, ranges and digit counts for the rest. A proposal that fails is dropped and not
-retried. Each span has a score: what its kind is worth, more if a checksum holds, more if a word of its kind's context
+retried, but for IBANs: where one may begin, every end of 15 to 34 characters at a word's edge is tried, and of those whose
+remainder holds the one of the country's length is taken, else the longest. Each span has a score: what its kind is worth, more if a checksum holds, more if a word of its kind's context
 stands nearby. The base kinds (email, ip, card, phone) stay at any score; iban and ssn need `threshold`.
 
 Offsets are code points, ends exclusive. A null text is an empty one and has no spans; a null id stays. Texts of any
@@ -28,10 +29,24 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",  # only where one begins; _ibans() finds the end
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 
+#: The whole of what an IBAN may be, and its most characters with a blank before each behind the first four.
+IBAN, IBAN_CHARS = r"\A[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\z", 64
+
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 #: What a text must hold for a kind's proposals to be looked for.
 HINTS = {
     "email": "instr({t}, '@') > 0",
@@ -74,6 +89,33 @@ def _proposals(text: Column, kind: str) -> Column:
     return F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
+def _ibans(text: Column) -> Column:
+    """array<struct<start,end,found>> of valid IBANs, leftmost and non-overlapping: of each begin's ends the best one."""
+    known = F.create_map(*[F.lit(x) for item in IBAN_LENGTH.items() for x in item])
+
+    def best(x: Column) -> Column:
+        """The end of an IBAN that begins at x, as a struct that sorts by worth; null if there is none."""
+        piece = F.substring(text, x["start"] + 1, F.lit(IBAN_CHARS + 1))
+
+        def end(n: Column) -> Column:
+            found = F.substring(piece, F.lit(1), n)
+            usual = F.length(F.regexp_replace(found, " ", "")) == F.coalesce(F.try_element_at(known, F.substring(found, 1, 2)), F.lit(0))
+            return F.struct(usual.alias("usual"), n.alias("n"), found.alias("found"))
+
+        edge = lambda n: ~F.substring(piece, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & F.substring(piece, n, F.lit(1)).rlike("[A-Z0-9]")
+        lengths = F.filter(F.sequence(F.lit(15), F.least(F.length(piece), F.lit(IBAN_CHARS))), edge)
+        ends = F.filter(F.transform(lengths, end), lambda e: e["found"].rlike(IBAN) & _valid("iban", e["found"]))
+        return F.array_max(ends)
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(x["start"].alias("start"), (x["start"] + x["best"]["n"]).alias("end"), x["best"]["found"].alias("found"))
+        return F.when((x["start"] >= acc["at"]) & x["best"].isNotNull(), F.struct(new["end"].alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))).otherwise(acc)
+
+    each = F.transform(_proposals(text, "iban"), lambda x: F.struct(x["start"].alias("start"), best(x).alias("best")))
+    empty = F.expr("array()").cast("array<struct<start:int,end:int,found:string>>")
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -126,7 +168,8 @@ def _spans(text: Column, kind: str, t: str, threshold: float) -> Column:
         score = F.lit(worth + check) + F.when(near, CONTEXT_WORTH).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
-    confirmed = F.transform(F.filter(_proposals(text, kind), lambda x: _valid(kind, x["found"])), scored)
+    valid = _ibans(text) if kind == "iban" else F.filter(_proposals(text, kind), lambda x: _valid(kind, x["found"]))
+    confirmed = F.transform(valid, scored)
     if kind not in BASE:
         confirmed = F.filter(confirmed, lambda s: s["score"] >= threshold)
     empty = F.expr("array()").cast("array<struct<start:int,rank:int,end:int,score:double>>")

@@ -286,6 +286,19 @@ def test_pii_more_kinds_and_masks(spark):
     assert got == {t: m or t for t, m in rows}
 
 
+def test_pii_iban_ends_where_its_remainder_holds(spark):
+    de, de_set, gb, mt = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "MT84MALT011000012345MTLCAST001S"
+    texts = [
+        f"IBAN <{de_set}> Please pay", f"IBAN <{de}> Please", f"<{gb}> EUR 5", f"<{gb}> 500 EUR", f"<{de}> <{gb}>", f"<{de_set}> <{gb}> NOW AND HERE 12", f"to <{mt}> OK", f"<{mt}>",
+        "DE89370400440532013001 Please", f"x{de} EUR", f"{de}a", f"é😀 <{de_set}>\nEUR", f"<{de}>, <{gb}>. <{de}>", f"REF12 AB12 CDEF 1234 <{de_set}> A", "DE89 3704 0044 053", "<NO9386011117947> PAID",
+    ]
+    rest = next(f"ZZ{n:02}WEST12345698765432" for n in range(2, 99) if int("".join(str(int(c, 36)) for c in f"WEST12345698765432ZZ{n:02}")) % 97 == 1)  # of no known country
+    texts.append(f"<{rest}> EUR 7")
+    want = {t.replace("<", "").replace(">", ""): re.sub("<[^>]*>", "[IBAN]", t) for t in texts}
+    d = pii.spans_column(spark.createDataFrame([(t,) for t in want], "text string"), threshold=0.5).withColumn("spans", F.filter("spans", lambda s: s["rank"] == 4))
+    assert {r.text: r.m for r in d.select("text", pii.masked(F.col("text"), F.col("spans")).alias("m")).collect()} == want
+
+
 def test_pii_runs_no_python(docs):
     plan = pii.detect(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow(Eval|Python)|MapIn", plan)
