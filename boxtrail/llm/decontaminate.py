@@ -1,18 +1,19 @@
-"""Benchmark decontamination: item-sized windows, CGK embedding, bit-sampling LSH, exact edit distance.
+"""Benchmark decontamination: windows from pieces that any match must keep, exact edit distance.
 
 Texts and items are compared as bytes, ASCII letters lowered and every white byte a blank. A document contains an item
 if some stretch of it is at most (1 - similarity) of the item's length away in edit distance.
 
-1. Windows: wherever a document has a q-gram of an item, the window of the item's size that would align the two is
-   looked at (starts are binned by `bin_bytes`; the edits allowed also cover the shift within a bin).
-2. CGK: each window and item walks along its bytes, at each step going on or staying by a random bit that depends on the
-   step and the byte; what it reads is the embedding. Few edits become few differing places with good probability.
-3. LSH: each of `walks` embeddings is sampled in `tables` sets of `sample` places; a window that agrees with its item in
-   all places of a set is a candidate. With at least a quarter of the places equal, `recall()` of such windows collide.
-4. Candidates are verified exactly (Sellers' search with Myers' bit vectors) around the window.
-
-Items go out as broadcasts of at most about `block_bytes`; a larger benchmark takes several passes. Items shorter than
-q bytes are too short to be told and match nothing. Null texts are empty and hold nothing; null ids stay. Repeated
+1. Windows: an item is cut into parts that share its allowed edits evenly, and a part into leaves, so that some part of any
+   match has at most its share and some leaf of that part at most one edit. What such a leaf keeps (four bytes of one half
+   beside two of the other, moved by at most one) is looked up at every place of the text; the trigrams and then the exact
+   edit distance of the part confirm it, and the item's window around it is looked at. So no match goes without a window
+   (starts are binned by `bin_bytes`; the edits allowed also cover the shift within a bin).
+2. Every window is verified exactly (Sellers' search with Myers' bit vectors). So few windows are left that sampling them
+   by embeddings (CGK walks and bit-sampling LSH) would only lose matches near the threshold.
+
+Items go out as broadcasts of at most about `block_bytes`; a larger benchmark takes several passes. Items
+whose leaves would be shorter than 8 bytes (of under 40 or so) are searched exactly in the whole text instead; those
+of under `least` are too short to be told and match nothing. Null texts are empty and hold nothing; null ids stay. Repeated
 document rows give repeated results; an item id with several texts gives its nearest one. Other columns are not read.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.kit import IS_SPACE, LOWER, passes, rolling, utf8
+from boxtrail.llm.kit import IS_SPACE, LOWER, passes, utf8
 
 #: Pairs that are verified together.
 LOT = 16_384
@@ -36,20 +37,74 @@ PLAIN = LOWER.copy()
 PLAIN[IS_SPACE] = 32
 
 
+#: Where the two bytes of a seed lie, from its four bytes on: behind them or before, next to them or with a gap.
+SHAPES = (4, 5, 6, 7, -2, -3, -4, -5)
+
+#: Bits of a map of trigrams, and the bytes between the maps of a text.
+MAP_BITS, MAP_STEP = 1024, 16
+
+#: Bytes of a lane in which short items are searched.
+LANE = 256
+
+
+def _spot(four: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """18 bits of a hash of a seed."""
+    return (four * np.uint32(0x9E3779B1) + two.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(14)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, from 8 before the first to the last, as numbers; zeros stand around the text."""
+    padded = np.zeros(len(data) + 32, np.uint8)
+    padded[8 : 8 + len(data)] = data
+    out = np.empty((len(data) + 16) // 8 * 8, np.uint64)
+    for k in range(8):
+        out[k::8] = padded[k : k + len(out)].view(np.uint64)
+    return out
+
+
+def _one_edit(text: np.ndarray, half: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether some beginning of text is at most one edit away from half, the first `size` (at most 7) bytes of a number."""
+    one, eight = np.uint64(1), np.uint64(8)
+    low = lambda n: (one << (eight * n)) - one
+    x = (text ^ half) & low(size)
+    same = np.bitwise_count((x & (~x + one)) - one).astype(np.uint64) // eight  # equal bytes at the front, if any differ
+    same = np.minimum(same, size - one)
+    at, behind = eight * same, eight * (same + one)
+    rest = low(size - same - one)
+    changed = (x >> behind) & rest
+    missing = ((text >> at) ^ (half >> behind)) & rest
+    added = ((text >> behind) ^ (half >> at)) & low(size - same)
+    return (x == 0) | (changed == 0) | (missing == 0) | (added == 0)
+
+
+def _maps(data: np.ndarray, width: int) -> np.ndarray:
+    """A row for each multiple of MAP_STEP: the map of the trigrams that begin in the `width` bytes from it on, rounded up."""
+    b = data.astype(np.uint32)
+    h = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(33 - MAP_BITS.bit_length())
+    out = np.zeros((-(-len(data) // MAP_STEP), MAP_BITS // 64), np.uint64)
+    flat, begin = out.reshape(-1), np.arange(len(out)) * out.shape[1]
+    for k in range(MAP_STEP):  # a place of each row at a time, so no row is written twice at once
+        x = h[k::MAP_STEP]
+        flat[begin[: len(x)] + (x >> np.uint32(6))] |= np.uint64(1) << (x & np.uint32(63)).astype(np.uint64)
+    have, need = 1, -(-width // MAP_STEP)
+    while have < need:
+        more = min(have, need - have)
+        out[:-more] |= out[more:].copy()
+        have += more
+    return out
+
+
 @dataclass(frozen=True)
 class Params:
     similarity: float = 0.8
-    q: int = 12
+    least: int = 12
+    part_edits: int = 7
     bin_bytes: int = 8
-    walks: int = 4
-    tables: int = 16
-    sample: int = 2
-    stretch: int = 2
-    seed: int = 11
     block_bytes: int = 1 << 19
 
-    def recall(self, equal: float = 0.25) -> float:
-        return 1 - (1 - equal**self.sample) ** (self.walks * self.tables)
+    def recall(self) -> float:
+        """Share of true matches that are found: every one has a window, and every window is verified."""
+        return 1.0
 
 
 class Searcher:
@@ -120,62 +175,99 @@ class Matcher:
     def __init__(self, items: list[tuple], p: Params):
         self.p = p
         self.ids, self.texts = [i for i, _ in items], [PLAIN[np.frombuffer(t.encode(), np.uint8)] for _, t in items]
-        usable = [j for j, t in enumerate(self.texts) if len(t) >= p.q]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.floor(self.size * (1 - p.similarity) + 1e-9).astype(np.int64)
-        grams = [rolling(self.texts[j], p.q) for j in usable]
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(g), j) for j, g in zip(usable, grams, strict=True)]) if grams else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.gram, self.item, self.place = h[order], item[order], place[order]
-        self.known = np.zeros(1 << 22, bool)
-        self.known[self.gram >> np.uint64(42)] = True
-        self.longest = int(self.size.max()) if len(self.size) else 0
+        self._seed()
         self.search = Searcher(self.texts)
-        rng = np.random.default_rng(p.seed)
-        steps = self.longest * p.stretch
-        self.moves = [rng.integers(0, 2, (steps, 256), dtype=np.int8) for _ in range(p.walks)]
-        spots = rng.random((p.walks, p.tables, p.sample))
-        #: places[w, j]: the sampled steps of walk w for item j, by table
-        self.places = [(spots[w][None] * (self.size * p.stretch)[:, None, None]).astype(np.int64) for w in range(p.walks)]
-        if len(self.texts):
-            padded = np.zeros((len(self.texts), self.longest + 1), np.uint8)
-            for j, t in enumerate(self.texts):
-                padded[j, : len(t)] = t
-            every = np.arange(len(self.texts))
-            self.read = [self._sampled(self._walk(padded, w), every, w) for w in range(p.walks)]
-
-    def _walk(self, rows: np.ndarray, w: int) -> np.ndarray:
-        """CGK embeddings, a column for each row; past its end a row reads 0."""
-        n, width = len(rows), rows.shape[1]
-        flat, base = rows.ravel(), np.arange(n) * width
-        i, out = base.copy(), np.empty((self.longest * self.p.stretch, n), np.uint8)
-        last = base + width - 1
-        for t, move in enumerate(self.moves[w]):
-            c = flat[i]
-            out[t] = c
-            i += move[c]
-            np.minimum(i, last, out=i)
-        return out
 
-    def _sampled(self, walked: np.ndarray, item: np.ndarray, w: int) -> np.ndarray:
-        return walked[self.places[w][item], np.arange(len(item))[:, None, None]]
+    def _seed(self) -> None:
+        """Parts, their seeds by shape, and the items that are scanned for."""
+        self.short, parts, seeds = [], [], [[] for _ in SHAPES]
+        for j, (t, n, e) in enumerate(zip(self.texts, self.size.tolist(), self.most.tolist(), strict=True)):
+            if n < self.p.least:
+                continue
+            cuts = [(g, e // g, e // g // 2 + 1) for g in range(e // (self.p.part_edits + 1) + 1, 0, -1)]
+            cuts = [c for c in cuts if n // c[0] // c[2] >= 8]
+            if not cuts:
+                self.short.append(j)
+                continue
+            g, share, leaves = cuts[0]
+            for i in range(g):
+                a, z = i * n // g, (i + 1) * n // g
+                for x in range(leaves):
+                    first, last = x * (z - a) // leaves, (x + 1) * (z - a) // leaves
+                    mid = (first + last) // 2
+                    ahead, back = t[a + mid : a + min(last, mid + 7)], t[a + max(first, mid - 7) : a + mid][::-1]
+                    for shape, d in enumerate(SHAPES):  # four bytes before mid and two behind them, or behind mid and two before
+                        four = mid - 4 if d > 0 else mid
+                        two = (mid if d == 4 else mid + 2) if d > 0 else (mid - 2 if d == -2 else mid - 4)
+                        seeds[shape].append((len(parts), four, t[a + four : a + four + 4].tobytes(), t[a + two : a + two + 2].tobytes(), (ahead if d > 0 else back).tobytes()))
+                parts.append((j, a, z - a, share))
+        self.part_item, self.part_at, self.part_size, self.part_most = (np.array(c, np.int64) for c in (zip(*parts, strict=True) if parts else [()] * 4))
+        pieces = [self.texts[j][a : a + m] for j, a, m, _ in parts]
+        self.search_part = Searcher(pieces)
+        self.reach = int((self.part_size + 2 * self.part_most).max()) if parts else 0
+        self.part_maps = np.stack([_maps(t, len(t))[0] for t in pieces]) if parts else np.zeros((0, MAP_BITS // 64), np.uint64)
+        self.seeds = []
+        for rows in seeds:
+            four, two = np.frombuffer(b"".join(r[2] for r in rows), np.uint32), np.frombuffer(b"".join(r[3] for r in rows), np.uint16)
+            h = _spot(four, two)
+            order = np.argsort(h, kind="stable")
+            first = np.searchsorted(h[order], np.arange((1 << 18) + 1)).astype(np.int32)
+            part, at = np.array([r[0] for r in rows], np.int32)[order], np.array([r[1] for r in rows], np.int32)[order]
+            half, size = np.frombuffer(b"".join(r[4].ljust(8, b"\0") for r in rows), np.uint64)[order], np.array([len(r[4]) for r in rows], np.uint64)[order]
+            self.seeds.append((first[1:] > first[:-1], first, four[order], two[order], part, at, half, size))
 
     def windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, item and start of the windows that a shared q-gram suggests."""
-        h = rolling(data, self.p.q)
-        hit = np.flatnonzero(self.known[h >> np.uint64(42)])
-        first, last = np.searchsorted(self.gram, h[hit], "left"), np.searchsorted(self.gram, h[hit], "right")
-        some = last > first
-        hit, first, n = hit[some], first[some], (last - first)[some]
-        row = np.searchsorted(at, hit, "right") - 1
-        inside = hit + self.p.q <= at[row + 1]
-        hit, first, n, row = hit[inside], first[inside], n[inside], row[inside]
-        entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row, start, item = np.repeat(row, n), np.repeat(hit, n) - self.place[entry], self.item[entry]
+        """Row, item and start of the windows around parts that the text holds."""
+        none = np.zeros(0, np.int64)
+        found = [(none, none)]
+        if len(data) < 4 or not len(self.part_item):
+            return none, none, none
+        b = data.astype(np.uint32)
+        two_of = np.append(b[:-1] | b[1:] << np.uint32(8), b[-1:]).astype(np.uint16)
+        four_of = two_of[:-3].astype(np.uint32) | two_of[2:-1].astype(np.uint32) << np.uint32(16)
+        maps = _maps(data, self.reach + MAP_STEP)
+        eight_of = _eights(data)
+        for d, (known, first, four, two, part, off, half, size) in zip(SHAPES, self.seeds, strict=True):
+            lo, hi = max(0, -d), min(len(four_of), len(two_of) - d)
+            if hi <= lo:
+                continue
+            h = _spot(four_of[lo:hi], two_of[lo + d : hi + d])
+            hit = np.flatnonzero(known[h])
+            h, hit = h[hit], hit + lo
+            n = first[h + 1] - first[h]
+            entry = np.repeat(first[h] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pos = np.repeat(hit, n)
+            on = np.flatnonzero((four_of[pos] == four[entry]) & (two_of[pos + d] == two[entry]))
+            entry, pos = entry[on], pos[on]
+            # the half that the four bytes aren't of: what follows them, or what goes before, last byte first
+            beside = eight_of[pos + 12] if d > 0 else eight_of[pos].byteswap()
+            on = np.flatnonzero(_one_edit(beside, half[entry], size[entry]))
+            entry, pos = entry[on], pos[on]
+            m, start = part[entry], pos - off[entry]
+            # the map over all places where the part can lie
+            spot = np.maximum(start - self.part_most[m], 0) // MAP_STEP
+            lost = np.bitwise_count(self.part_maps[m] & ~maps[np.minimum(spot, len(maps) - 1)]).sum(1, dtype=np.int64)
+            on = np.flatnonzero(lost <= 3 * self.part_most[m])
+            found.append((m[on].astype(np.int64), start[on]))
+        m, start = (np.concatenate(c) for c in zip(*found, strict=True))
+        both = np.unique(m * (2 * len(data) + 2) + start + len(data))
+        m, start = both // (2 * len(data) + 2), both % (2 * len(data) + 2) - len(data)
+        row = [np.clip(np.searchsorted(at, x, "right") - 1, 0, len(at) - 2) for x in (np.maximum(start, 0), start + self.part_size[m] // 2, start + self.part_size[m])]
+        more = [np.arange(len(m)), np.flatnonzero(row[0] != row[1]), np.flatnonzero(row[2] != row[1])]  # a place near a row's edge
+        row = np.concatenate([row[1], row[0][more[1]], row[2][more[2]]])
+        m, start = m[np.concatenate(more)], start[np.concatenate(more)]
+        ok = np.zeros(len(m), bool)
+        for a in range(0, len(m), LOT):
+            k = slice(a, a + LOT)
+            low = np.maximum(start[k] - self.part_most[m[k]], at[row[k]])
+            length = np.maximum(np.minimum(start[k] + self.part_size[m[k]] + self.part_most[m[k]], at[row[k] + 1]) - low, 0)
+            texts = data[np.clip(low + np.arange(length.max(initial=0))[:, None], 0, len(data) - 1)].T  # read by column
+            ok[k] = self.search_part(m[k], texts, length) <= self.part_most[m[k]]
+        row, item, start = row[ok], self.part_item[m[ok]], start[ok] - self.part_at[m[ok]]
         if not len(row):
-            return row, item, start
+            return none, none, none
         binned = (start - at[row]) // self.p.bin_bytes
         order = np.lexsort((start, binned, item, row))
         row, item, start, binned = row[order], item[order], start[order], binned[order]
@@ -183,21 +275,17 @@ class Matcher:
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (binned[1:] != binned[:-1])
         return row[new], item[new], start[new]
 
-    def candidates(self, data: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which windows collide with their item in some table."""
-        out = np.zeros(len(row), bool)
-        for a in range(0, len(row), 4000):
-            k = slice(a, a + 4000)
-            place = start[k, None] + np.arange(self.longest + 1)
-            bad = (place < at[row[k]][:, None]) | (place >= np.minimum(at[row[k] + 1], start[k] + self.size[item[k]])[:, None])
-            rows = data[np.clip(place, 0, len(data) - 1)]
-            rows[bad] = 0
-            for w in range(self.p.walks):
-                left = np.flatnonzero(~out[k])
-                if len(left):
-                    got = self._sampled(self._walk(rows[left], w), item[k][left], w)
-                    out[a + left] |= (got == self.read[w][item[k][left]]).all(2).any(1)
-        return out
+    def scanned(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item, first and last byte of stretches that may hold a short item."""
+        for j in self.short if len(data) else ():
+            wide = LANE + int(self.size[j] + self.most[j])
+            begin = np.arange(0, len(data), LANE)
+            lanes = data[np.minimum(begin[:, None] + np.arange(wide), len(data) - 1)]
+            length = np.minimum(wide, len(data) - begin)
+            near = self.search(np.full(len(begin), j), lanes, length) <= self.most[j]
+            for a, n in zip(begin[near].tolist(), length[near].tolist(), strict=True):
+                for r in range(int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, a + n, "left"))):
+                    yield r, j, max(a, int(at[r])), min(a + n, int(at[r + 1]))
 
     def find(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, distance) of everything contained."""
@@ -215,12 +303,16 @@ class Matcher:
                 best[r, m] = min(best.get((r, m), x), x)
             waiting.clear()
 
-        for i, j in passes(offsets) if len(self.gram) else ():
+        for i, j in passes(offsets) if len(self.texts) else ():
             d, at = PLAIN[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+            for r, m, a, b in self.scanned(d, at):
+                waiting.append((i + r, m, d[a:b]))
+                if len(waiting) >= LOT:
+                    verify()
             row, item, start = self.windows(d, at)
             if not len(row):
                 continue
-            k = np.flatnonzero(self.candidates(d, at, row, item, start))
+            k = np.arange(len(row))
             slack = self.most[item[k]] + self.p.bin_bytes
             first, last = np.maximum(at[row[k]], start[k] - slack), np.minimum(at[row[k] + 1], start[k] + self.size[item[k]] + slack)
             for r, m, a, b in zip((i + row[k]).tolist(), item[k].tolist(), first.tolist(), last.tolist(), strict=True):

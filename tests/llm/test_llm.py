@@ -427,6 +427,35 @@ def sellers(a, b):
     return min(prev)
 
 
+def test_decontamination_finds_spread_edits():
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("".join(rnd.choice("aeioubcdflmnrst") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    items = [prose(rnd.randint(8, 60)) for _ in range(60)] + ["twenty bytes of text", "thirty-five bytes of an item's text"]
+    every = lambda x, k: "".join("#" if i % k == k // 2 else c for i, c in enumerate(x))
+
+    def mixed(x):
+        c = list(x)
+        for _ in range(int(0.2 * len(x))):
+            k, o = rnd.randrange(len(c)), rnd.random()
+            c[k : k + 1] = ["#"] if o < 0.4 else [] if o < 0.7 else [c[k], "q"]
+        return "".join(c)
+
+    texts = [p + edit(x) + q for x in items for edit in (str, lambda x: every(x, 12), lambda x: every(x, 10), lambda x: every(x, 5), lambda x: x.replace(" ", "  "), mixed) for p, q in (("", ""), ("Zz ", " zz"))] + ["", "x" * 300, prose(100)]
+    m = decontaminate.Matcher(list(enumerate(items)), decontaminate.Params())
+    assert m.short and len(m.part_item)
+    got = {(r, j): d for r, j, d in m.find(pa.array(texts))}
+    plain = [t.lower().encode() for t in texts]
+    matrix = np.zeros((len(texts), max(map(len, plain))), np.uint8)
+    for i, t in enumerate(plain):
+        matrix[i, : len(t)] = np.frombuffer(t, np.uint8)
+    length = np.array([len(t) for t in plain])
+    want = {}
+    for j, x in enumerate(items):
+        d = decontaminate.Searcher([np.frombuffer(x.lower().encode(), np.uint8)])(np.zeros(len(texts), np.int64), matrix, length)
+        want |= {(r, j): int(d[r]) for r in np.flatnonzero(d <= int(0.2 * len(x) + 1e-9)).tolist()}
+    assert got == want and len(want) > 600
+
+
 def test_nearest_is_exact():
     rnd = random.Random(5)
     items = [np.array([rnd.choice(b"abc") for _ in range(rnd.randint(1, 150))], np.uint8) for _ in range(60)]
