@@ -13,7 +13,7 @@ if some stretch of it is at most (1 - similarity) of the item's length away in e
 
 Items go out as broadcasts of at most about `block_bytes`; a larger benchmark takes several passes. Items
 whose leaves would be shorter than 8 bytes (of under 40 or so) are searched exactly in the whole text instead; those
-of under `least` are too short to be told and match nothing. Null texts are empty and hold nothing; null ids stay. Repeated
+of under `least` bytes are too short for edits and match only as they stand. An empty item matches nothing. Null texts are empty and hold nothing; null ids stay. Repeated
 document rows give repeated results; an item id with several texts gives its nearest one. Other columns are not read.
 """
 
@@ -177,6 +177,7 @@ class Matcher:
         self.ids, self.texts = [i for i, _ in items], [PLAIN[np.frombuffer(t.encode(), np.uint8)] for _, t in items]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.floor(self.size * (1 - p.similarity) + 1e-9).astype(np.int64)
+        self.most[self.size < p.least] = 0
         self._seed()
         self.search = Searcher(self.texts)
 
@@ -184,7 +185,7 @@ class Matcher:
         """Parts, their seeds by shape, and the items that are scanned for."""
         self.short, parts, seeds = [], [], [[] for _ in SHAPES]
         for j, (t, n, e) in enumerate(zip(self.texts, self.size.tolist(), self.most.tolist(), strict=True)):
-            if n < self.p.least:
+            if not n:
                 continue
             cuts = [(g, e // g, e // g // 2 + 1) for g in range(e // (self.p.part_edits + 1) + 1, 0, -1)]
             cuts = [c for c in cuts if n // c[0] // c[2] >= 8]
@@ -303,7 +304,7 @@ class Matcher:
                 best[r, m] = min(best.get((r, m), x), x)
             waiting.clear()
 
-        for i, j in passes(offsets) if len(self.texts) else ():
+        for i, j in passes(offsets, 1 << 18) if len(self.texts) else ():
             d, at = PLAIN[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
             for r, m, a, b in self.scanned(d, at):
                 waiting.append((i + r, m, d[a:b]))

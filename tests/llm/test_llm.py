@@ -456,6 +456,14 @@ def test_decontamination_finds_spread_edits():
     assert got == want and len(want) > 600
 
 
+def test_decontamination_finds_short_items_as_they_stand():
+    items = ["ab", "x", "Elevenbytes", "eight by", "", "a b c d"]
+    texts = ["AB", "a b", "cab", "an elevenbytes.", "elevenbytez", "x", "eight\nby", "eight  by", "", "a b c", "q" * 600 + "ab" + "q" * 300 + "a\tb c d"]
+    got = {(r, j): d for r, j, d in decontaminate.Matcher(list(enumerate(items)), decontaminate.Params()).find(pa.array(texts))}
+    plain = lambda t: re.sub(r"\s", " ", t.lower())
+    assert got == {(r, j): 0 for r, t in enumerate(texts) for j, x in enumerate(items) if x and plain(x) in plain(t)}
+
+
 def test_nearest_is_exact():
     rnd = random.Random(5)
     items = [np.array([rnd.choice(b"abc") for _ in range(rnd.randint(1, 150))], np.uint8) for _ in range(60)]
