@@ -40,9 +40,11 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder in spark.checkpoint.dir; where that is unset (a local session), a new one."""
+    """URI of the folder in spark.checkpoint.dir; where that is unset, a new one in a local session and an error in others."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='boxtrail-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base if "://" in base or not base.startswith("/") else f"file://{base}"
@@ -60,15 +62,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark).removeprefix("file://").rstrip("/")
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if base in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        base = shared_dir(spark).removeprefix("file://").rstrip("/")
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            if base in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """base, with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
 
 
 #: Rows of an Arrow batch: whole texts, so that a batch is tens of MB at most for common lengths.
@@ -140,10 +151,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), MULT, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_KEYS = [np.zeros(0, np.uint64)]
+
+
+def place_keys(n: int) -> np.ndarray:
+    """A number for each place in a string, with no relation between them: sums of byte codes times these (a multilinear
+    hash) tell strings apart whatever their pattern, which polynomials modulo 2^64 don't (Thue-Morse words)."""
+    if len(_KEYS[0]) < n:
+        _KEYS[0] = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * MULT)
+    return _KEYS[0][:n]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +192,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     place = np.arange(starts[0], len(data)) - first
     inside = place < np.repeat(lens, np.diff(np.append(starts, len(data))))
     place[~inside] = 0
-    code = code[starts[0] :] * powers(int(lens.max()))[place]
+    code = code[starts[0] :] * place_keys(int(lens.max()))[place]
     code[~inside] = 0
     return mix(np.add.reduceat(code, starts - starts[0]) + lens.astype(np.uint64))
 

@@ -79,7 +79,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxtrail.llm import jaccard
 
-    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP7_SQL = r"""
@@ -88,7 +88,7 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coa
  e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
  k AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
  r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM k WHERE k.a = s.doc_id) AS n_links FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
 

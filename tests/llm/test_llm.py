@@ -333,11 +333,18 @@ def by_brute_force(rows):
     return sorted(((d, len(sets[i]), least(group[find(i)]) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
 
 
+def link_counts(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    like = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted(((d, sum(bool(like(a, b)) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))), key=repr)
+
+
 @pytest.mark.parametrize("small", [2, 4, 50])
 def test_jaccard_fixture(docs, empty, small):
-    p = jaccard.Params(small=small, block=3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, params=p).collect()), key=repr)
-    assert got == by_brute_force([r[:2] for r in ROWS])
+    p = jaccard.Params(small=small, block=3, filter_bytes=1 << 12, block_bytes=[1 << 20, 2000][small == 2])
+    out = jaccard.classes(docs, params=p).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == by_brute_force([r[:2] for r in ROWS])
+    assert sorted(((r.doc_id, r.n_links) for r in out), key=repr) == link_counts([r[:2] for r in ROWS])
     if small == 4:
         assert jaccard.classes(empty, params=p).count() == 0
 
@@ -354,8 +361,32 @@ def test_jaccard_near_copies(spark):
                 w[k : k + 1] = [f"e{rnd.randrange(50)}"] if o < 0.5 else [] if o < 0.75 else [w[k], "ins"]
             rows.append((len(rows), " ".join(w)))
     rnd.shuffle(rows)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), params=jaccard.Params(block=16)).collect()), key=repr)
+    for p in (jaccard.Params(block=16, small=4, block_bytes=8000, filter_bytes=1 << 12), jaccard.Params(small=20, filter_bytes=1 << 12)):
+        out = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), params=p).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == by_brute_force(rows)
+        assert sorted(((r.doc_id, r.n_links) for r in out), key=repr) == link_counts(rows)
+
+
+def thue_morse(n, first="a"):
+    return "".join("ab"[(i.bit_count() + (first == "b")) & 1] for i in range(n))
+
+
+def test_words_with_a_pattern_stay_apart(spark):
+    """Words that polynomial hashes modulo 2^64 take for one."""
+    a, b = thue_morse(2048), thue_morse(2048, "b")
+    rows = [(1, f"one two three four {a}"), (2, f"one two three four {b}"), (3, f"{a} {a}"), (4, a), (5, b), (6, f"{b} x y z u v w " * 40), (7, f"{a} x y z u v w " * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(d).collect()), key=repr)
     assert got == by_brute_force(rows)
+    known = {r.doc_id: r.n_known for r in lm.train_and_score(d, F.col("doc_id") == 4).collect()}
+    assert known == {1: 2, 2: 1, 3: 3, 4: 2, 5: 1, 6: 1, 7: 41}
+
+
+def test_vertex_numbers_follow_the_seed():
+    real = jaccard.sets
+    rows = [(i, t) for i, t in enumerate(["a b c d e f", "a b c d e g h i j", "a b c d e f"])]
+    data, at = kit.utf8(pa.array([t for _, t in rows]))
+    assert len(set(real(data, at, 5, 0)[3].tolist())) == 2 == len(set(real(data, at, 5, 1)[3].tolist())) and set(real(data, at, 5, 0)[3].tolist()) != set(real(data, at, 5, 1)[3].tolist())
 
 
 def test_bitmaps_never_drop_a_similar_pair():
@@ -560,7 +591,7 @@ def test_words_and_shingles():
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_keep_their_contract(spark, name):
-    want = {"op1": "doc_id held_out score predicted", "op2": "doc_id held_out n_tokens n_known train_tokens base_score score", "op3": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op4": "doc_id n_bytes n_removed n_spans kept_sha256", "op5": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "doc_id n_shingles component_id", "op8": "doc_id n_tokens ids_sha256 decoded_sha256", "op9": "doc_id item_id", "op10": "doc_id"}
+    want = {"op1": "doc_id held_out score predicted", "op2": "doc_id held_out n_tokens n_known train_tokens base_score score", "op3": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op4": "doc_id n_bytes n_removed n_spans kept_sha256", "op5": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "doc_id n_shingles component_id n_links", "op8": "doc_id n_tokens ids_sha256 decoded_sha256", "op9": "doc_id item_id", "op10": "doc_id"}
     out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert out.columns[: len(want[name.split("_")[0]].split())] == want[name.split("_")[0]].split()
     assert out.count() > 0
