@@ -7,8 +7,10 @@ remainder holds the one of the country's length is taken, else the longest. Each
 stands nearby. The base kinds (email, ip, card, phone) stay at any score; iban and ssn need `threshold`.
 
 Offsets are code points, ends exclusive. A null text is an empty one and has no spans; a null id stays. Texts of any
-length are read whole: the patterns below never go back over a run, so their time grows with the text. Other columns of
-the input are kept as they are, except that columns named as this operator's are replaced (see `spans_column`).
+length are read whole: the patterns below never go back over a run, and whatever stands somewhere in a text is read from
+pieces of `PIECE` characters, so the time grows with the text and with its matches (times their logarithm), not with their square. Repeated
+rows give equal results; an empty table gives an empty one. Other columns of the input stay: mask() keeps all of them under any
+name, spans_column() replaces a column named as its result, detect() returns its own alone.
 """
 
 from __future__ import annotations
@@ -49,14 +51,17 @@ IBAN_LENGTH = {
 
 #: What a text must hold for a kind's proposals to be looked for.
 HINTS = {
-    "email": "instr({t}, '@') > 0",
-    "ip": r"{t} rlike '[0-9]\\.[0-9]'",
-    "card": r"{t} rlike '[0-9](?:[\\x20-]?[0-9]){{13}}'",
-    "phone": "instr({t}, '+') > 0",
-    "iban": r"{t} rlike '[A-Z]{{2}}[0-9]{{2}}\\x20?[A-Z0-9]'",
-    "ssn": "{t} rlike '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'",
+    "email": lambda t: F.instr(t, "@") > 0,
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
+    "phone": lambda t: F.instr(t, "+") > 0,
+    "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"),
+    "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
 
+#: Characters of the pieces in which a text is read, and elements of the lists that are put together into one.
+PIECE, SOME = 512, 256
+
 #: Worth of a kind, and of its checksum.
 WORTH = {"email": (0.8, 0.0), "ip": (0.6, 0.0), "card": (0.3, 0.4), "phone": (0.6, 0.0), "iban": (0.3, 0.5), "ssn": (0.3, 0.0)}
 
@@ -72,30 +77,63 @@ CONTEXT = {
 CONTEXT_WORTH, CONTEXT_CHARS = 0.3, 60
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, op) -> Column:
+    """The running sums (or whatever op gives) of an array<int>, by steps of 1, 2, 4 and so on."""
+
+    def steps(own: Column) -> Column:
+        strides = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(own)))), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(strides, own, lambda a, d: F.transform(a, lambda x, i: F.when(i >= d, op(x, F.get(a, i - d))).otherwise(x)))
+
+    return _let(values, steps)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _near(pieces: Column, start: Column, n: Column) -> Column:
+    """At most PIECE characters from start (0 or more) on."""
+    number = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, number), F.lit("")), F.coalesce(F.get(pieces, number + 1), F.lit("")))
+    return F.substring(two, start - number * PIECE + 1, n)
+
+
+def _stretch(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, however many."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    one = F.substring(F.get(pieces, first), start - first * PIECE + 1, end - start)
+    many = F.concat(F.substring(F.get(pieces, first), start - first * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(F.get(pieces, last), F.lit(1), end - last * PIECE))
+    return F.when(end <= start, "").when(first == last, one).otherwise(many)
+
+
 def _proposals(text: Column, kind: str) -> Column:
     """array<struct<start,end,found>> of all matches. The gaps between matches (split) and the matches themselves
     give the offsets, in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
-    empty = F.expr("array()").cast("array<struct<start:int,end:int,found:string>>")
+    pairs = F.zip_with(gaps, found, lambda g, f: F.struct(F.length(f).alias("n"), (F.length(g) + F.length(f)).alias("step"), f.alias("found")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda x: x["step"]), lambda x, y: x + y)
+        return F.zip_with(pairs, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), end.alias("end"), x["found"].alias("found")))
 
-    pairs = F.zip_with(gaps, found, lambda g, f: F.struct(g.alias("gap"), f.alias("found")))
-    return F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return _let(F.filter(pairs, lambda x: x["found"].isNotNull()), placed)
 
 
-def _ibans(text: Column) -> Column:
+def _ibans(text: Column, pieces: Column) -> Column:
     """array<struct<start,end,found>> of valid IBANs, leftmost and non-overlapping: of each begin's ends the best one."""
     known = F.create_map(*[F.lit(x) for item in IBAN_LENGTH.items() for x in item])
 
     def best(x: Column) -> Column:
         """The end of an IBAN that begins at x, as a struct that sorts by worth; null if there is none."""
-        piece = F.substring(text, x["start"] + 1, F.lit(IBAN_CHARS + 1))
+        return _let(_near(pieces, x["start"], F.lit(IBAN_CHARS + 1)), best_of)
+
+    def best_of(piece: Column) -> Column:
 
         def end(n: Column) -> Column:
             found = F.substring(piece, F.lit(1), n)
@@ -107,13 +145,19 @@ def _ibans(text: Column) -> Column:
         ends = F.filter(F.transform(lengths, end), lambda e: e["found"].rlike(IBAN) & _valid("iban", e["found"]))
         return F.array_max(ends)
 
+    empty = F.expr("array()").cast("array<struct<start:int,end:int,found:string>>")
+    lists = F.expr("array()").cast("array<array<struct<start:int,end:int,found:string>>>")
+
     def step(acc: Column, x: Column) -> Column:
+        """Lists of SOME, so that no long list is copied at each step."""
         new = F.struct(x["start"].alias("start"), (x["start"] + x["best"]["n"]).alias("end"), x["best"]["found"].alias("found"))
-        return F.when((x["start"] >= acc["at"]) & x["best"].isNotNull(), F.struct(new["end"].alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))).otherwise(acc)
+        full = F.size(acc["out"]) >= SOME
+        lists = F.when(full, F.concat(acc["lists"], F.array(acc["out"]))).otherwise(acc["lists"])
+        out = F.concat(F.when(full, empty).otherwise(acc["out"]), F.array(new))
+        return F.when((x["start"] >= acc["at"]) & x["best"].isNotNull(), F.struct(new["end"].alias("at"), out.alias("out"), lists.alias("lists"))).otherwise(acc)
 
     each = F.transform(_proposals(text, "iban"), lambda x: F.struct(x["start"].alias("start"), best(x).alias("best")))
-    empty = F.expr("array()").cast("array<struct<start:int,end:int,found:string>>")
-    return F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("out"), lists.alias("lists")), step, lambda acc: F.concat(F.flatten(acc["lists"]), acc["out"]))
 
 
 def _digits(found: Column) -> Column:
@@ -156,31 +200,37 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, t: str, threshold: float) -> Column:
+def _spans(text: Column, pieces: Column, kind: str, threshold: float) -> Column:
     """Confirmed spans of a kind with their scores: array<struct<start,rank,end,score>>."""
     rank = KINDS.index(kind)
     worth, check = WORTH[kind]
 
     def scored(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-        after = F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS // 2))
+        before = _near(pieces, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
+        after = _near(pieces, x["end"], F.lit(CONTEXT_CHARS // 2))
         near = F.concat(before, F.lit(" "), after).rlike(rf"(?i)\b(?:{CONTEXT[kind]})s?\b")
         score = F.lit(worth + check) + F.when(near, CONTEXT_WORTH).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
-    valid = _ibans(text) if kind == "iban" else F.filter(_proposals(text, kind), lambda x: _valid(kind, x["found"]))
+    valid = _ibans(text, pieces) if kind == "iban" else F.filter(_proposals(text, kind), lambda x: _valid(kind, x["found"]))
     confirmed = F.transform(valid, scored)
     if kind not in BASE:
         confirmed = F.filter(confirmed, lambda s: s["score"] >= threshold)
     empty = F.expr("array()").cast("array<struct<start:int,rank:int,end:int,score:double>>")
-    return F.when(F.expr(HINTS[kind].format(t=t)), confirmed).otherwise(empty)
+    return F.when(HINTS[kind](text), confirmed).otherwise(empty)
+
+
+def _all_spans(text: Column, threshold: float) -> Column:
+    any_hint = HINTS[KINDS[0]](text)
+    for k in KINDS[1:]:
+        any_hint = any_hint | HINTS[k](text)
+    found = _let(_pieces(text), lambda pieces: F.array_sort(F.concat(*[_spans(text, pieces, k, threshold) for k in KINDS])))
+    return F.when(any_hint, found).otherwise(F.expr("array()").cast("array<struct<start:int,rank:int,end:int,score:double>>"))
 
 
 def spans_column(docs: DataFrame, text_col: str = "text", out: str = "spans", threshold: float = 0.5) -> DataFrame:
     """docs with a column `out`: array<struct<start,rank,end,score>>, by start, then kind in the order of KINDS."""
-    quoted = f"coalesce(cast(`{text_col}` as string), '')"
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn(out, F.array_sort(F.concat(*[_spans(text, k, quoted, threshold) for k in KINDS])))
+    return docs.withColumn(out, _all_spans(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), threshold))
 
 
 def spelled(spans: Column) -> Column:
@@ -193,20 +243,33 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of spans that overlap, the first one's kind stands."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["rank"] + 1))).alias("out"),
-        )
+    def put_together(spans: Column, reached: Column, pieces: Column) -> Column:
+        """reached: how far each span and those before it go."""
+        before = F.concat(F.array(F.lit(0)), reached)
+        each = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, at: F.when(s["start"] >= at, F.concat(_stretch(pieces, at, s["start"]), F.element_at(names, s["rank"] + 1))).otherwise(""))
+        last = F.element_at(reached, -1)
+        return F.concat(F.array_join(each, ""), _stretch(pieces, last, F.length(text)))
+
+    def on(spans: Column) -> Column:
+        reached = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return _let(reached, lambda r: _let(_pieces(text), lambda pieces: put_together(spans, r, pieces)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, on))
+
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done))
+def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """docs with the spans in text_col masked (a null stays) and, if named, the text's length in length_col. All columns stay in their places."""
+    text = F.col(f"`{text_col}`").cast("string")
+    # the rows' own columns travel as one, so that no name of theirs can meet one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("t"), _all_spans(F.coalesce(text, F.lit("")), threshold).alias("spans"))
+    rows = rows.select("doc", F.when(F.col("t").isNotNull(), masked(F.col("t"), F.col("spans"))).alias("m"))
+    now = {text_col: F.col("m"), length_col: F.coalesce(F.length("m"), F.lit(0)).cast("long")}
+    return rows.select(*[now[c].alias(c) if c in now else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """A row for each row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = spans_column(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), "text", "found", threshold).select(id_col, "found")
+    found = docs.select(F.col(id_col), _all_spans(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), threshold).alias("found"))
     number = lambda k: F.size(F.filter("found", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     return found.select(id_col, *[number(k) for k in BASE], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"))

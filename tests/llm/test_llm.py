@@ -299,6 +299,35 @@ def test_pii_iban_ends_where_its_remainder_holds(spark):
     assert {r.text: r.m for r in d.select("text", pii.masked(F.col("text"), F.col("spans")).alias("m")).collect()} == want
 
 
+def test_pii_time_grows_with_the_matches(spark):
+    import time
+
+    n = 100_000
+    many, spaced = "a@b.co " * n, ("é 1.2.3.4 ssn 123-45-6789 " + "x" * 700 + "\n") * 400
+    rows = [(1, many, "s", 1), (2, spaced, "s", 2), (2, spaced, "s", 2), (3, None, None, None), (4, "DE89370400440532013000 " * 2000, "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string, M long")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.detect(d).collect()}
+    text = {r.doc_id: r for r in pii.mask(d, "text", "M").collect()}
+    assert time.time() - began < 90
+    assert got[1].n_email == n and got[1].spans.endswith(f"email:{7 * (n - 1)}:{7 * n - 1}")
+    assert got[1].base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest() and got[2].base_sha256 == hashlib.sha256(base_spans(spaced).encode()).hexdigest()
+    assert text[1].text == "[EMAIL] " * n and text[2].text == ("é [IP] ssn [SSN] " + "x" * 700 + "\n") * 400 and text[4].text == "[IBAN] " * 2000
+    assert text[3].text is None and text[1].spans == "s" and text[2].M == len(text[2].text)
+    assert pii.mask(d, "text", "M").columns == d.columns and pii.mask(d.limit(0)).count() == 0
+
+
+def test_pii_masks_what_overlaps(spark):
+    t = "1.2.3.4@5.6.7.8 " * 3
+    d = pii.spans_column(spark.createDataFrame([(t,)], "text string"))
+    (r,) = d.select("spans", pii.masked(F.col("text"), F.col("spans")).alias("m")).collect()
+    out, at = "", 0
+    for s in r.spans:
+        out += "" if s.start < at else t[at : s.start] + f"[{pii.KINDS[s['rank']].upper()}]"
+        at = max(at, s.end)
+    assert r.m == out + t[at:]
+
+
 def test_pii_runs_no_python(docs):
     plan = pii.detect(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow(Eval|Python)|MapIn", plan)
@@ -552,6 +581,10 @@ def test_quality(spark, sf):
     y = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = quality.judge(d, quality.train(d, y, ~kit.held_out("doc_id", 5)))
     assert set(d.columns) < set(out.columns) and out.count() == d.count()
+    odd = d.selectExpr("*", "1 AS evidence", "2 AS Host_Share", "3 AS keep", "4 AS `a.b`", "5 AS path", "6 AS doc")
+    again = quality.judge(odd, quality.train(odd, y, ~kit.held_out("doc_id", 5)))
+    assert again.columns == [*d.columns, "evidence", "a.b", "path", "doc", *quality.JUDGED]
+    assert sorted(r.quality_score for r in again.collect()) == sorted(r.quality_score for r in out.collect())
     held = out.join(y, "doc_id").where(kit.held_out("doc_id", 5)).select("quality", "keep").collect()
     assert sum(r.keep == bool(r.quality) for r in held) >= 0.9 * len(held)
 
