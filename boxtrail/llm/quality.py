@@ -10,8 +10,9 @@
 
 Sums by site are grouped aggregates, combined before they are shuffled, so a host with a third of all rows is no more
 than one row from each task. Null texts are empty and have the features of one; null hosts and languages count as
-empty names. Every row is scored, repeated rows alike; other columns stay. Empty tables work; without labels of both
-kinds the evidence says nothing and everything is kept.
+empty names. Every row is scored, repeated rows alike; other columns stay, but for those named as judge()'s own, which are
+replaced. Empty tables work; without labels of both kinds the evidence says nothing and everything is kept. Here a path is a
+host's rows of one language (`path_col`): the tables have no URL; a column of paths serves as well.
 """
 
 from __future__ import annotations
@@ -138,16 +139,6 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, i
     return fit(np.array([r[1] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[0] != 0 for r in rows], bool), (total.k or 0) / total.n if total.n else 0.5, params)
 
 
-def _evidence_column(model, text: Column) -> Column:
-    @arrow_udf("double")
-    def evidence(t: pa.Array) -> pa.Array:
-        out = pa.array(model.value.evidence(shape(t)), pa.float64())
-        tidy()
-        return out
-
-    return evidence.asNondeterministic()(text.cast("string"))  # so that expressions over it share one evaluation
-
-
 def site_posteriors(scored: DataFrame, prior: float) -> DataFrame:
     """host, path, host_share, path_share from rows (host, path, p): shares of good text, shrunk by level."""
     path = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")  # the texts are read once for it
@@ -169,17 +160,33 @@ def site_posteriors(scored: DataFrame, prior: float) -> DataFrame:
     return path.join(host, "host").select("host", "path", "host_share", ((F.col("s") + m_path * F.col("host_share")) / (F.col("n") + m_path)).alias("path_share"))
 
 
-def judge(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.25) -> DataFrame:
-    """docs with doc_score, host_share, path_share, quality_score (0 to 1) and keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+#: The columns that judge() adds.
+JUDGED = ("doc_score", "host_share", "path_share", "quality_score", "keep")
+
+
+def judge(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.25, names: dict[str, str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """docs with doc_score, host_share, path_share, quality_score (0 to 1) and keep; names renames them. A column of docs that has one of
+    these names (in any case) is replaced by it. columns: those of docs that are carried (all). The texts are read once: what they say is written beside their rows."""
+    spark = docs.sparkSession
+    names = {c: (names or {}).get(c, c) for c in JUDGED}
+    columns = docs.columns if columns is None else columns
+    shared = spark.sparkContext.broadcast(model)
     log_prior = float(np.log(model.prior / (1 - model.prior)))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.withColumns({"_evidence": _evidence_column(shared, F.col(text_col)), "_host": name(host_col), "_path": name(path_col)})
-    own = 1 / (1 + F.exp(-(F.col("_evidence") + F.lit(log_prior))))
-    sites = written(site_posteriors(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), own.alias("p")), model.prior).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_share", "path_share"), "sites")
-    size = sites.agg(F.sum(F.octet_length("_host") + F.octet_length("_path") + 64).alias("b")).first().b or 0
+
+    @arrow_udf("double")
+    def evidence(t: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.evidence(shape(t)), pa.float64())
+        tidy()
+        return out
+
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    # the rows' own columns travel as one, so that no name of theirs can meet one of these
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), evidence(F.col(f"`{text_col}`").cast("string")).alias("evidence"), name(host_col).alias("host"), name(path_col).alias("path")), "evidence")
+    own = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(log_prior))))
+    sites = written(site_posteriors(rows.select("host", "path", own.alias("p")), model.prior), "sites")
+    size = sites.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("b")).first().b or 0
     sites = F.broadcast(sites) if size <= BROADCAST_BYTES else sites  # beyond that, a shuffled join that AQE splits
     share = F.greatest(F.least(F.col("path_share"), F.lit(0.99)), F.lit(0.01))
-    posterior = 1 / (1 + F.exp(-(F.col("_evidence") + F.log(share / (1 - share)))))
-    out = rows.join(sites, ["_host", "_path"]).withColumns({"doc_score": own, "quality_score": posterior}).withColumn("keep", F.col("quality_score") >= threshold)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "doc_score", "host_share", "path_share", "quality_score", "keep")
+    out = rows.join(sites, ["host", "path"]).withColumn("doc_score", own).withColumn("quality_score", 1 / (1 + F.exp(-(F.col("evidence") + F.log(share / (1 - share)))))).withColumn("keep", F.col("quality_score") >= threshold)
+    new = {n.lower() for n in names.values()}
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in columns if c.lower() not in new], *[F.col(c).alias(n) for c, n in names.items()])

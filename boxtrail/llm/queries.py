@@ -109,9 +109,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boxtrail.llm import quality
 
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    docs = documents(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id", 5))
-    return quality.judge(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "doc_score", "host_share", "path_share", "quality_score", "keep")
+    return quality.judge(docs, model, columns=["doc_id"]).select("doc_id", held_out("doc_id", 5).alias("held_out"), "doc_score", "host_share", "path_share", "quality_score", "keep")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
