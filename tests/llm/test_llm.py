@@ -173,10 +173,11 @@ def test_chat_round_trip(spark):
 # --- 4 ------------------------------------------------------------------------------------------
 
 
-def removed(rows, length):
-    order = sorted({(d is not None, d or 0, t or "") for d, t, *_ in rows})
+def removed(rows, length, number=lambda t: 0):
+    """number: of a text among those of one id."""
+    order = sorted({(d is not None, d or 0, number(t or ""), t or "") for d, t, *_ in rows})
     seen, out = set(), {}
-    for has, d, t in order:
+    for has, d, _, t in order:
         b = t.encode()
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
@@ -190,13 +191,14 @@ def removed(rows, length):
 
 @pytest.mark.parametrize(("length", "hot"), [(100, 200_000), (48, 200_000), (100, 2), (100, 6)])
 def test_repeats(docs, empty, length, hot):
-    # rows of one id and several texts are ordered by a hash of the text; the fixture's null ids share no string
-    rows = [r for r in ROWS if r[0] is not None]
+    extra = [(None, r[1], *r[2:]) for r in ROWS[9:22]] + [(6, r[1], *r[2:]) for r in ROWS[12:16]]  # ids with several texts
+    rows, spark = [*ROWS, *extra], docs.sparkSession
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    number = {r.t: r.n for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("n", repeats.text_hash(F.col("t"), 0)).collect()}
     p = repeats.Params(length=length, gram=length // 3, hot=hot)
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs.where("doc_id is not null"), params=p).collect())
-    assert got == sorted(removed(rows, length))
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, params=p).collect())
+    assert got == sorted(removed(rows, length, number.get))
     assert repeats.remove_repeats(empty, params=p).count() == 0
-    assert repeats.remove_repeats(docs, params=p).count() == len(ROWS)
 
 
 @pytest.mark.parametrize("hot", [200_000, 5])
@@ -208,8 +210,39 @@ def test_repeats_random(spark, hot):
     assert got == sorted(removed(rows, 100))
 
 
-def test_earlier():
-    assert repeats.earlier(np.array([0, 0, 1, 2, 2]), np.array([5, 3, 1, 0, 9])).tolist() == [True, False, False, False, True]
+def test_factors_of_a_text():
+    """Longest previous factors by brute force, over suffix orders of whole texts."""
+    rnd = random.Random(4)
+    for text in ["", "a", "aaaaaaaa", "abracadabra", "mississippi", thue_morse(128), *("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 60))) for _ in range(60))]:
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        same = lambda i, j: next((k for k in range(len(text)) if i + k >= len(text) or j + k >= len(text) or text[i + k] != text[j + k]), len(text))
+        lcp = np.array([0, *(same(a, b) for a, b in zip(order, order[1:]))][: len(order)], np.int64)
+        got = dict(zip(order, repeats.factors(lcp, np.array(order, np.int64)).tolist(), strict=True))
+        assert got == {i: max((same(i, j) for j in range(i)), default=0) for i in range(len(text))}
+
+
+def test_one_place_twice_is_not_its_own_factor():
+    assert repeats.factors(np.array([0, 5, 5, 5]), np.array([7, 7, 7, 9])).tolist() == [0, 0, 0, 5]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_suffix_order(clash):
+    """By bytes, zeros among them, even where keys take different rows for equal."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 2, (200, 9), dtype=np.uint8) * 255
+    raw[50:90] = raw[10:50]
+    key = np.zeros(200, np.uint64) if clash else np.unique(raw, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
+    order, lcp = repeats.suffix_order(raw, key, np.arange(200))
+    rows = [raw[i].tobytes() for i in order]
+    assert rows == sorted(rows) and [i for i in order.tolist()] == sorted(range(200), key=lambda i: (raw[i].tobytes(), i))
+    assert lcp.tolist() == [0, *(next((k for k in range(9) if a[k] != b[k]), 9) for a, b in zip(rows, rows[1:]))]
+
+
+def test_repeats_of_patterned_strings(spark):
+    a, b = thue_morse(3000), thue_morse(3000, "b")
+    rows = [(1, a), (2, b + "q"), (3, a[500:900] + "z" + b[100:180]), (4, "ab" * 400)]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(removed(rows, 100))
 
 
 # --- 5 ------------------------------------------------------------------------------------------
