@@ -73,13 +73,26 @@ def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
 
 def _stretches(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     """Multilinear hashes of the stretches of size bytes from each start on."""
-    keys, out = place_keys(size), np.empty(len(start), np.uint64)
+    keys, cells, out = place_keys(size), np.arange(size), np.empty(len(start), np.uint64)
     code = BYTE_CODE[data]
-    for a in range(0, len(start), 16_384):
-        out[a : a + 16_384] = (code[start[a : a + 16_384, None] + np.arange(size)] * keys).sum(1, dtype=np.uint64)
+    for a in range(0, len(start), 1024):  # few enough to stay in the cache
+        out[a : a + 1024] = code[start[a : a + 1024, None] + cells] @ keys
     return mix(out)
 
 
+def _edge_contexts(data: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the contexts of anchors near a text's ends: of the bytes that are there, and how many."""
+    cells, width = np.arange(-p.before, p.length), p.before + p.length
+    keys, one, two = place_keys(2 * width), np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
+    for a in range(0, len(place), 1024):
+        k = slice(a, a + 1024)
+        code = BYTE_CODE[data[np.clip(place[k, None] + cells, 0, len(data) - 1)]]
+        code[(cells < -left[k, None]) | (cells >= right[k, None])] = 0
+        one[k], two[k] = code @ keys[:width], code @ keys[width:]
+    sides = mix((left * 1000 + right + 1).astype(np.uint64))
+    return mix(one + sides), mix(two + sides)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Place, row, gram hash and two context hashes of all anchors in texts that lie one behind the other."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3))
@@ -101,11 +114,8 @@ def anchors(data: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np
     if whole.any():
         context[whole] = mix(rolling(data, p.before + p.length)[place[whole] - p.before])
         second[whole] = _stretches(data, place[whole] - p.before, p.before + p.length)
-    for i in np.flatnonzero(~whole).tolist():  # those at a text's ends: their lengths are a part of them
-        piece = data[place[i] - left[i] : place[i] + right[i]]
-        sides = np.uint64(int(left[i]) * 1000 + int(right[i]) + 1)
-        context[i] = mix(rolling(piece, len(piece)) + sides)[0]
-        second[i] = mix(_stretches(piece, np.zeros(1, np.int64), len(piece)) + sides)[0]
+    ends = np.flatnonzero(~whole)
+    context[ends], second[ends] = _edge_contexts(data, place[ends], left[ends], right[ends], p)
     return place, row, h[place], context, second
 
 
@@ -380,7 +390,7 @@ def _match_contexts(p: Params, lot: int = 4096):
             z = np.zeros(0, np.int64)
             return z, z, z
         start = (text[r] << 32) + place[r] - p.before + w
-        order, lcp = suffix_order(raw[r[:, None], w[:, None] + np.arange(n)], key, start)
+        order, lcp = suffix_order(np.lib.stride_tricks.sliding_window_view(raw, n, axis=1)[r, w], key, start)
         hit = order[factors(lcp, start[order]) >= n]
         r, w = r[hit], w[hit]
         order = np.lexsort((w, r))
