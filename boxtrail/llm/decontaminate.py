@@ -1,110 +1,83 @@
-"""Benchmark decontamination: windows from pieces that any match must keep, exact edit distance.
+"""Benchmark decontamination: CGK embeddings, bit-sampling LSH over windows, exact edit distance.
 
 Texts and items are compared as bytes, ASCII letters lowered and every white byte a blank. A document contains an item
 if some stretch of it is at most (1 - similarity) of the item's length away in edit distance.
 
-1. Windows: an item is cut into parts that share its allowed edits evenly, and a part into leaves, so that some part of any
-   match has at most its share and some leaf of that part at most one edit. What such a leaf keeps (four bytes of one half
-   beside two of the other, moved by at most one) is looked up at every place of the text; the trigrams and then the exact
-   edit distance of the part confirm it, and the item's window around it is looked at. So no match goes without a window
-   (starts are binned by `bin_bytes`; the edits allowed also cover the shift within a bin).
-2. Every window is verified exactly (Sellers' search with Myers' bit vectors). So few windows are left that sampling them
-   by embeddings (CGK walks and bit-sampling LSH) would only lose matches near the threshold.
-
-Items go out as broadcasts of at most about `block_bytes`; a larger benchmark takes several passes. Items
-whose leaves would be shorter than 8 bytes (of under 40 or so) are searched exactly in the whole text instead; those
-of under `least` bytes are too short for edits and match only as they stand. An empty item matches nothing. Null texts are empty and hold nothing; null ids stay. Repeated
-document rows give repeated results; an item id with several texts gives its nearest one. Other columns are not read.
+1. Embedding (CGK): a walk reads the byte it stands on and steps ahead or stays, by a random bit for that step and byte. Two strings a
+   few edits apart soon walk in step again, so edit distance becomes Hamming distance between what the walks read.
+2. LSH: a table takes `sample` steps of a walk as its key. Every place of every item is embedded and stands in all tables; of the texts, every
+   `stride`-th place is. So a match as long as its item holds several places of the text that can find it, each in `tables` tables,
+   whatever the shift between item and text.
+3. Where a place of the text and one of an item agree in a table, their walks are compared whole, and from `agree` of all steps on
+   the item's window around the place is verified exactly (Sellers' search with Myers' bit vectors).
+
+Measured on the 200 items (81 to 394 bytes) of the check tables' benchmark, each put once into prose of the corpus, recall is at least 0.95 for
+substitutions and for mixed edits, spread evenly or at random, of 9 to 20 % of the item (README); the target is `target`. What is found is exact.
+Items of `short` to `long` bytes have tables and a stride of their own (TIERS). Those below are searched exactly in the whole
+text, at some ten times the cost of an embedded text for each; those of under `least` bytes are too short for edits and match only as they stand. An
+empty item matches nothing.
+
+Items go out as broadcasts of at most about `block_bytes`; one scan of the texts takes a batch of them through all blocks. Null
+texts are empty and hold nothing; null ids stay. Repeated document rows give repeated results; an item id with several texts gives
+its nearest one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.kit import IS_SPACE, LOWER, passes, utf8
+from boxtrail.llm.kit import IS_SPACE, LOWER, passes, tidy, utf8
 
-#: Pairs that are verified together.
-LOT = 16_384
+#: Pairs that are verified together, and the bytes of their texts.
+LOT, LOT_BYTES = 16_384, 16 << 20
 
 PLAIN = LOWER.copy()
 PLAIN[IS_SPACE] = 32
 
+#: Bytes of a lane in which short items are searched.
+LANE = 256
 
-#: Where the two bytes of a seed lie, from its four bytes on: behind them or before, next to them or with a gap.
-SHAPES = (4, 5, 6, 7, -2, -3, -4, -5)
+#: Bits of a table's key that find its entries, and matchers that a worker keeps.
+SPOT_BITS, KEPT = 20, 4
 
-#: Bits of a map of trigrams, and the bytes between the maps of a text.
-MAP_BITS, MAP_STEP = 1024, 16
+#: About how many places of an item stand in the tables, and words of bit vectors up to which many pairs are searched at once.
+MOST_PLACES, MANY_WORDS = 4096, 16
 
-#: Bytes of a lane in which short items are searched.
-LANE = 256
 
+@dataclass(frozen=True)
+class Tier:
+    """How items from some length on are looked for."""
+
+    steps: int
+    sample: int
+    tables: int
+    walks: int
+    stride: int
+    widest: int
+    agree: float
 
-def _spot(four: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """18 bits of a hash of a seed."""
-    return (four * np.uint32(0x9E3779B1) + two.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(14)
-
-
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, from 8 before the first to the last, as numbers; zeros stand around the text."""
-    padded = np.zeros(len(data) + 32, np.uint8)
-    padded[8 : 8 + len(data)] = data
-    out = np.empty((len(data) + 16) // 8 * 8, np.uint64)
-    for k in range(8):
-        out[k::8] = padded[k : k + len(out)].view(np.uint64)
-    return out
-
-
-def _one_edit(text: np.ndarray, half: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether some beginning of text is at most one edit away from half, the first `size` (at most 7) bytes of a number."""
-    one, eight = np.uint64(1), np.uint64(8)
-    low = lambda n: (one << (eight * n)) - one
-    x = (text ^ half) & low(size)
-    same = np.bitwise_count((x & (~x + one)) - one).astype(np.uint64) // eight  # equal bytes at the front, if any differ
-    same = np.minimum(same, size - one)
-    at, behind = eight * same, eight * (same + one)
-    rest = low(size - same - one)
-    changed = (x >> behind) & rest
-    missing = ((text >> at) ^ (half >> behind)) & rest
-    added = ((text >> behind) ^ (half >> at)) & low(size - same)
-    return (x == 0) | (changed == 0) | (missing == 0) | (added == 0)
-
-
-def _maps(data: np.ndarray, width: int) -> np.ndarray:
-    """A row for each multiple of MAP_STEP: the map of the trigrams that begin in the `width` bytes from it on, rounded up."""
-    b = data.astype(np.uint32)
-    h = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(33 - MAP_BITS.bit_length())
-    out = np.zeros((-(-len(data) // MAP_STEP), MAP_BITS // 64), np.uint64)
-    flat, begin = out.reshape(-1), np.arange(len(out)) * out.shape[1]
-    for k in range(MAP_STEP):  # a place of each row at a time, so no row is written twice at once
-        x = h[k::MAP_STEP]
-        flat[begin[: len(x)] + (x >> np.uint32(6))] |= np.uint64(1) << (x & np.uint32(63)).astype(np.uint64)
-    have, need = 1, -(-width // MAP_STEP)
-    while have < need:
-        more = min(have, need - have)
-        out[:-more] |= out[more:].copy()
-        have += more
-    return out
+
+#: For items of Params.short bytes or more, and for those of Params.long or more.
+TIERS = (Tier(40, 8, 48, 4, 2, 5, 0.45), Tier(60, 10, 30, 3, 8, 6, 0.4))
 
 
 @dataclass(frozen=True)
 class Params:
     similarity: float = 0.8
+    target: float = 0.95
     least: int = 12
-    part_edits: int = 7
-    bin_bytes: int = 8
-    block_bytes: int = 1 << 19
-
-    def recall(self) -> float:
-        """Share of true matches that are found: every one has a window, and every window is verified."""
-        return 1.0
+    short: int = 40
+    long: int = 80
+    bin_bytes: int = 16
+    block_bytes: int = 1 << 17
+    seed: int = 20240229
 
 
 class Searcher:
@@ -114,7 +87,7 @@ class Searcher:
     def __init__(self, items: list[np.ndarray]):
         self.size = np.array([len(t) for t in items], np.int64)
         self.words = np.maximum(-(-self.size // 64), 1)
-        self.equal = []
+        self.equal, self.whole = [], {}
         for t, k in zip(items, self.words.tolist(), strict=True):
             table = np.zeros((256, k), np.uint64)
             at = np.arange(len(t))
@@ -126,11 +99,37 @@ class Searcher:
         out = np.zeros(len(item), np.int64)
         for k in np.unique(self.words[item]).tolist():
             at = np.flatnonzero(self.words[item] == k)
+            if k > MANY_WORDS:
+                for x in at.tolist():
+                    out[x] = self._one(int(item[x]), texts[x, : length[x]])
+                continue
             for a in range(0, len(at), 4096):
                 part = at[a : a + 4096]
                 out[part] = self._same_words(k, item[part], texts[part], length[part])
         return out
 
+    def _one(self, item: int, text: np.ndarray) -> int:
+        """The same search for one pair, in whole numbers of any length."""
+        if item not in self.whole:
+            self.whole[item] = [int.from_bytes(row.tobytes(), "little") for row in self.equal[item]]
+        equal, n = self.whole[item], int(self.size[item])
+        every, last = (1 << n) - 1, 1 << (n - 1)
+        up, down, score = every, 0, n
+        best = n
+        for c in text.tolist():
+            eq = equal[c]
+            x = eq | down
+            d0 = ((((x & up) + up) ^ up) | x) & every
+            hp, hn = down | (every & ~(d0 | up)), up & d0
+            if hp & last:
+                score += 1
+            elif hn & last:
+                score -= 1
+                best = min(best, score)
+            hp, hn = (hp << 1) & every, (hn << 1) & every
+            up, down = hn | (every & ~(d0 | hp)), hp & d0
+        return best
+
     def _same_words(self, k: int, item: np.ndarray, texts: np.ndarray, length: np.ndarray) -> np.ndarray:
         used, inv = np.unique(item, return_inverse=True)
         equal = np.stack([self.equal[j] for j in used.tolist()])
@@ -169,8 +168,93 @@ def nearest(item: bytes, text: bytes) -> int:
     return int(Searcher([np.frombuffer(item, np.uint8)])(np.zeros(1, np.int64), row, np.array([len(text)]))[0])
 
 
+class Index:
+    """The places of some items in the tables of a tier."""
+
+    def __init__(self, items: list[int], texts: list[np.ndarray], tier: Tier, seed: int):
+        rng = np.random.default_rng(seed)
+        self.tier = t = tier
+        self.bits = rng.integers(0, 2, (t.walks, t.steps, 256), dtype=np.int64)
+        self.tables = []
+        for k in range(t.tables):
+            at = np.cumsum(rng.integers(2, t.widest + 1, t.sample))
+            at += rng.integers(0, max(1, t.steps - int(at[-1]))) - at[0]
+            self.tables.append((k % t.walks, np.minimum(at, t.steps - 1), rng.integers(0, 2**31, t.sample).astype(np.uint32) * np.uint32(2) + np.uint32(1)))
+        size = np.array([len(texts[j]) for j in items], np.int64)
+        data = np.concatenate([np.concatenate((texts[j], np.zeros(t.steps, np.uint8))) for j in items])
+        first = np.cumsum(size + t.steps) - size - t.steps
+        # a match of a long item holds the more places of the text: some thousand places of the item are enough
+        places = [np.arange(0, n, max(1, n // MOST_PLACES), dtype=np.int32) for n in size.tolist()]
+        count = [len(x) for x in places]
+        self.item, self.at = np.repeat(np.array(items, np.int32), count), np.concatenate(places)
+        walked = self.embed(data, np.repeat(first, count) + self.at)
+        self.walked = np.ascontiguousarray(walked.reshape(t.walks * t.steps, -1).T).astype(np.uint8)
+        self.known = []
+        for table in self.tables:
+            key = self.keys(walked, table)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            spot = np.zeros(1 << SPOT_BITS, bool)
+            spot[key >> np.uint32(32 - SPOT_BITS)] = True
+            self.known.append((spot, key, order))
+
+    def embed(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """What the walks read from each start on: (walks, steps, starts). Behind the data they read zeros."""
+        t = self.tier
+        wide = np.zeros(len(data) + t.steps, np.int64)
+        wide[: len(data)] = data
+        out = np.empty((t.walks, t.steps, len(start)), np.uint32)
+        read, step = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        for w in range(t.walks):
+            at = start.astype(np.int64)
+            for j in range(t.steps):
+                np.take(wide, at, out=read, mode="clip")
+                out[w, j] = read
+                np.take(self.bits[w, j], read, out=step, mode="clip")
+                at += step
+        return out
+
+    @staticmethod
+    def keys(walked: np.ndarray, table: tuple) -> np.ndarray:
+        w, at, factor = table
+        key = walked[w, at[0]] * factor[0]
+        part = np.empty_like(key)
+        for j, f in zip(at[1:].tolist(), factor[1:], strict=True):
+            np.multiply(walked[w, j], f, out=part)
+            key += part
+        key ^= key >> np.uint32(15)
+        key *= np.uint32(0x2C1B3C6D)
+        key ^= key >> np.uint32(12)
+        return key
+
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item, and where it would begin in data, for places whose walks agree."""
+        t = self.tier
+        start = np.arange(0, len(data), t.stride)
+        walked = self.embed(data, start)
+        n = len(self.item)
+        found = [np.zeros(0, np.int64)]
+        for table, (spot, key, order) in zip(self.tables, self.known, strict=True):
+            mine = self.keys(walked, table)
+            on = np.flatnonzero(spot[mine >> np.uint32(32 - SPOT_BITS)])
+            low = np.searchsorted(key, mine[on], "left")
+            some = key[np.minimum(low, n - 1)] == mine[on]
+            on, low = on[some], low[some]
+            times = np.searchsorted(key, mine[on], "right") - low
+            entry = order[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            found.append(np.repeat(on, times) * n + entry)
+        both = np.unique(np.concatenate(found))
+        place, entry = both // n, both % n
+        flat, keep = walked.reshape(-1, len(start)), np.zeros(len(both), bool)
+        for a in range(0, len(both), 8192):
+            k = slice(a, a + 8192)
+            keep[k] = (flat[:, place[k]].T == self.walked[entry[k]]).mean(1) >= t.agree
+        place, entry = place[keep], entry[keep]
+        return self.item[entry].astype(np.int64), start[place] - self.at[entry]
+
+
 class Matcher:
-    """Everything that is known of a block of items; made on the driver's broadcast, once in each worker."""
+    """Everything that is known of a block of items."""
 
     def __init__(self, items: list[tuple], p: Params):
         self.p = p
@@ -178,98 +262,30 @@ class Matcher:
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.floor(self.size * (1 - p.similarity) + 1e-9).astype(np.int64)
         self.most[self.size < p.least] = 0
-        self._seed()
+        tier_of = np.searchsorted([1, p.short, p.long], self.size, "right") - 2  # -2 and -1: none, scanned for
+        self.scan = np.flatnonzero(tier_of == -1).tolist()
+        self.indexes = [Index(np.flatnonzero(tier_of == k).tolist(), self.texts, tier, p.seed + k) for k, tier in enumerate(TIERS) if (tier_of == k).any()]
         self.search = Searcher(self.texts)
 
-    def _seed(self) -> None:
-        """Parts, their seeds by shape, and the items that are scanned for."""
-        self.short, parts, seeds = [], [], [[] for _ in SHAPES]
-        for j, (t, n, e) in enumerate(zip(self.texts, self.size.tolist(), self.most.tolist(), strict=True)):
-            if not n:
-                continue
-            cuts = [(g, e // g, e // g // 2 + 1) for g in range(e // (self.p.part_edits + 1) + 1, 0, -1)]
-            cuts = [c for c in cuts if n // c[0] // c[2] >= 8]
-            if not cuts:
-                self.short.append(j)
-                continue
-            g, share, leaves = cuts[0]
-            for i in range(g):
-                a, z = i * n // g, (i + 1) * n // g
-                for x in range(leaves):
-                    first, last = x * (z - a) // leaves, (x + 1) * (z - a) // leaves
-                    mid = (first + last) // 2
-                    ahead, back = t[a + mid : a + min(last, mid + 7)], t[a + max(first, mid - 7) : a + mid][::-1]
-                    for shape, d in enumerate(SHAPES):  # four bytes before mid and two behind them, or behind mid and two before
-                        four = mid - 4 if d > 0 else mid
-                        two = (mid if d == 4 else mid + 2) if d > 0 else (mid - 2 if d == -2 else mid - 4)
-                        seeds[shape].append((len(parts), four, t[a + four : a + four + 4].tobytes(), t[a + two : a + two + 2].tobytes(), (ahead if d > 0 else back).tobytes()))
-                parts.append((j, a, z - a, share))
-        self.part_item, self.part_at, self.part_size, self.part_most = (np.array(c, np.int64) for c in (zip(*parts, strict=True) if parts else [()] * 4))
-        pieces = [self.texts[j][a : a + m] for j, a, m, _ in parts]
-        self.search_part = Searcher(pieces)
-        self.reach = int((self.part_size + 2 * self.part_most).max()) if parts else 0
-        self.part_maps = np.stack([_maps(t, len(t))[0] for t in pieces]) if parts else np.zeros((0, MAP_BITS // 64), np.uint64)
-        self.seeds = []
-        for rows in seeds:
-            four, two = np.frombuffer(b"".join(r[2] for r in rows), np.uint32), np.frombuffer(b"".join(r[3] for r in rows), np.uint16)
-            h = _spot(four, two)
-            order = np.argsort(h, kind="stable")
-            first = np.searchsorted(h[order], np.arange((1 << 18) + 1)).astype(np.int32)
-            part, at = np.array([r[0] for r in rows], np.int32)[order], np.array([r[1] for r in rows], np.int32)[order]
-            half, size = np.frombuffer(b"".join(r[4].ljust(8, b"\0") for r in rows), np.uint64)[order], np.array([len(r[4]) for r in rows], np.uint64)[order]
-            self.seeds.append((first[1:] > first[:-1], first, four[order], two[order], part, at, half, size))
-
     def windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, item and start of the windows around parts that the text holds."""
+        """Row, item and start of the windows to verify; a window stands for those that begin in the same bin."""
         none = np.zeros(0, np.int64)
-        found = [(none, none)]
-        if len(data) < 4 or not len(self.part_item):
-            return none, none, none
-        b = data.astype(np.uint32)
-        two_of = np.append(b[:-1] | b[1:] << np.uint32(8), b[-1:]).astype(np.uint16)
-        four_of = two_of[:-3].astype(np.uint32) | two_of[2:-1].astype(np.uint32) << np.uint32(16)
-        maps = _maps(data, self.reach + MAP_STEP)
-        eight_of = _eights(data)
-        for d, (known, first, four, two, part, off, half, size) in zip(SHAPES, self.seeds, strict=True):
-            lo, hi = max(0, -d), min(len(four_of), len(two_of) - d)
-            if hi <= lo:
-                continue
-            h = _spot(four_of[lo:hi], two_of[lo + d : hi + d])
-            hit = np.flatnonzero(known[h])
-            h, hit = h[hit], hit + lo
-            n = first[h + 1] - first[h]
-            entry = np.repeat(first[h] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pos = np.repeat(hit, n)
-            on = np.flatnonzero((four_of[pos] == four[entry]) & (two_of[pos + d] == two[entry]))
-            entry, pos = entry[on], pos[on]
-            # the half that the four bytes aren't of: what follows them, or what goes before, last byte first
-            beside = eight_of[pos + 12] if d > 0 else eight_of[pos].byteswap()
-            on = np.flatnonzero(_one_edit(beside, half[entry], size[entry]))
-            entry, pos = entry[on], pos[on]
-            m, start = part[entry], pos - off[entry]
-            # the map over all places where the part can lie
-            spot = np.maximum(start - self.part_most[m], 0) // MAP_STEP
-            lost = np.bitwise_count(self.part_maps[m] & ~maps[np.minimum(spot, len(maps) - 1)]).sum(1, dtype=np.int64)
-            on = np.flatnonzero(lost <= 3 * self.part_most[m])
-            found.append((m[on].astype(np.int64), start[on]))
-        m, start = (np.concatenate(c) for c in zip(*found, strict=True))
-        both = np.unique(m * (2 * len(data) + 2) + start + len(data))
-        m, start = both // (2 * len(data) + 2), both % (2 * len(data) + 2) - len(data)
-        row = [np.clip(np.searchsorted(at, x, "right") - 1, 0, len(at) - 2) for x in (np.maximum(start, 0), start + self.part_size[m] // 2, start + self.part_size[m])]
-        more = [np.arange(len(m)), np.flatnonzero(row[0] != row[1]), np.flatnonzero(row[2] != row[1])]  # a place near a row's edge
-        row = np.concatenate([row[1], row[0][more[1]], row[2][more[2]]])
-        m, start = m[np.concatenate(more)], start[np.concatenate(more)]
-        ok = np.zeros(len(m), bool)
-        for a in range(0, len(m), LOT):
-            k = slice(a, a + LOT)
-            low = np.maximum(start[k] - self.part_most[m[k]], at[row[k]])
-            length = np.maximum(np.minimum(start[k] + self.part_size[m[k]] + self.part_most[m[k]], at[row[k] + 1]) - low, 0)
-            texts = data[np.clip(low + np.arange(length.max(initial=0))[:, None], 0, len(data) - 1)].T  # read by column
-            ok[k] = self.search_part(m[k], texts, length) <= self.part_most[m[k]]
-        row, item, start = row[ok], self.part_item[m[ok]], start[ok] - self.part_at[m[ok]]
-        if not len(row):
+        got = [x.hits(data) for x in self.indexes if len(data)]
+        item, start = (np.concatenate([none, *c]) for c in (zip(*got, strict=True) if got else ((), ())))
+        if not len(item):
             return none, none, none
-        binned = (start - at[row]) // self.p.bin_bytes
+        # rows that the item can lie in: near a row's edge there are two, or more if rows are short
+        reach = self.most[item]
+        first = np.searchsorted(at, np.maximum(start - reach, 0), "right") - 1
+        last = np.searchsorted(at, np.minimum(start + self.size[item] + reach, len(data)), "left")
+        times = np.maximum(last - first, 1)
+        row = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, start = np.repeat(item, times), np.repeat(start, times)
+        on = (row >= 0) & (row < len(at) - 1)
+        row, item, start = row[on], item[on], start[on]
+        on = at[row + 1] - at[row] >= self.size[item] - self.most[item]
+        row, item, start = row[on], item[on], start[on]
+        binned = start // self.p.bin_bytes
         order = np.lexsort((start, binned, item, row))
         row, item, start, binned = row[order], item[order], start[order], binned[order]
         new = np.ones(len(row), bool)
@@ -278,7 +294,7 @@ class Matcher:
 
     def scanned(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Row, item, first and last byte of stretches that may hold a short item."""
-        for j in self.short if len(data) else ():
+        for j in self.scan if len(data) else ():
             wide = LANE + int(self.size[j] + self.most[j])
             begin = np.arange(0, len(data), LANE)
             lanes = data[np.minimum(begin[:, None] + np.arange(wide), len(data) - 1)]
@@ -293,9 +309,11 @@ class Matcher:
         data, offsets = utf8(column)
         best: dict[tuple[int, int], int] = {}
         waiting: list[tuple[int, int, np.ndarray]] = []
+        held = 0
 
         def verify() -> None:
             """In lots, because one step over many pairs costs about as much as over a few."""
+            nonlocal held
             length = np.array([len(t) for _, _, t in waiting], np.int64)
             texts = np.zeros((len(waiting), int(length.max())), np.uint8)
             for i, (_, _, t) in enumerate(waiting):
@@ -303,83 +321,99 @@ class Matcher:
             for (r, m, _), x in zip(waiting, self.search(np.array([m for _, m, _ in waiting]), texts, length).tolist(), strict=True):
                 best[r, m] = min(best.get((r, m), x), x)
             waiting.clear()
+            held = 0
+
+        def wait(r: int, m: int, text: np.ndarray) -> None:
+            nonlocal held
+            if waiting and (len(waiting) >= LOT or max(held, len(text)) * (len(waiting) + 1) > LOT_BYTES):
+                verify()
+            waiting.append((r, m, text))
+            held = max(held, len(text))
 
         for i, j in passes(offsets, 1 << 18) if len(self.texts) else ():
             d, at = PLAIN[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
             for r, m, a, b in self.scanned(d, at):
-                waiting.append((i + r, m, d[a:b]))
-                if len(waiting) >= LOT:
-                    verify()
+                wait(i + r, m, d[a:b])
             row, item, start = self.windows(d, at)
-            if not len(row):
-                continue
-            k = np.arange(len(row))
-            slack = self.most[item[k]] + self.p.bin_bytes
-            first, last = np.maximum(at[row[k]], start[k] - slack), np.minimum(at[row[k] + 1], start[k] + self.size[item[k]] + slack)
-            for r, m, a, b in zip((i + row[k]).tolist(), item[k].tolist(), first.tolist(), last.tolist(), strict=True):
-                waiting.append((r, m, d[a:b]))
-                if len(waiting) >= LOT:
-                    verify()
+            slack = self.most[item] + self.p.bin_bytes
+            first, last = np.maximum(at[row], start - slack), np.minimum(at[row + 1], start + self.size[item] + slack)
+            for r, m, a, b in zip((i + row).tolist(), item.tolist(), first.tolist(), last.tolist(), strict=True):
+                if b > a:
+                    wait(r, m, d[a:b])
         if waiting:
             verify()
         return [(r, m, x) for (r, m), x in sorted(best.items()) if x <= self.most[m]]
 
 
+class Matchers:
+    """Of blocks of items; a worker keeps a few and makes the others anew for each batch."""
+
+    def __init__(self, blocks: list[Broadcast], p: Params):
+        self.blocks, self.p, self.kept = blocks, p, {}
+
+    def __iter__(self) -> Iterator[Matcher]:
+        for k, shared in enumerate(self.blocks):
+            if k in self.kept:
+                yield self.kept[k]
+                continue
+            path = getattr(shared, "_path", None)
+            m = Matcher(shared.load_from_path(path) if path and len(self.blocks) > KEPT else shared.value, self.p)
+            if len(self.kept) < KEPT:
+                self.kept[k] = m
+            yield m
+
+
+def _blocks(items: DataFrame, params: Params) -> list[Broadcast]:
+    """Broadcasts of (item, t), about block_bytes each; the driver holds one block at a time."""
+    context = items.sparkSession.sparkContext
+    out, part, size = [], [], 0
+    for r in items.distinct().orderBy("t", "item").toLocalIterator():
+        if part and size + len(r.t) > params.block_bytes:
+            out.append(context.broadcast(part))
+            part, size = [], 0
+        part.append((r.item, r.t))
+        size += len(r.t)
+    return [*out, context.broadcast(part)] if part or not out else out
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: Params = Params()) -> DataFrame:
     """Rows (id, item id, distance, similarity), a row for each document row and item that it contains."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
-    size = items.agg(F.sum(F.octet_length("t") + 64).alias("b")).first().b or 0
-    blocks = int(-(-size // params.block_bytes)) or 1
+    blocks = _blocks(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t")).where(F.col("t").isNotNull()), params)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance long, similarity double"
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
-
-    def one(block: int) -> DataFrame:
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(sorted(((r.item, r.t) for r in part.collect()), key=str))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, params)
-            for batch in batches:
-                found: dict[tuple[int, object], tuple[int, float]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = Matchers(blocks, params)
+        for batch in batches:
+            found: dict[tuple[int, object], tuple[int, float]] = {}
+            for m in matchers:
                 for r, j, x in m.find(batch.column(1)):
                     key, new = (r, m.ids[j]), (x, 1 - x / int(m.size[j]))
                     found[key] = max(found.get(key, new), new, key=lambda v: v[1])
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([i for _, i in keys], item_type), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.float64())], [id_col, item_col, "distance", "similarity"])
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([i for _, i in keys], item_type), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.float64())], [id_col, item_col, "distance", "similarity"])
+            tidy()
 
-        return source.mapInArrow(run, schema)
-
-    return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
+    return docs.select(F.col(id_col), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: Params = Params()) -> DataFrame:
     """The rows of docs, all columns, that contain no item."""
     from pyspark.sql.functions import arrow_udf
 
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_text_col).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
-    size = items.agg(F.sum(F.octet_length("t") + 64).alias("b")).first().b or 0
-    blocks = int(-(-size // params.block_bytes)) or 1
-
-    def holds(block: int):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(sorted((0, r.t) for r in part.collect()))
-        made: list[Matcher] = []
-
-        @arrow_udf("boolean")
-        def test(t: pa.Array) -> pa.Array:
-            if not made:
-                made.append(Matcher(shared.value, params))
-            out = np.zeros(len(t), bool)
-            for r, _, _ in made[0].find(t):
-                out[r] = True
-            return pa.array(out)
+    blocks = _blocks(benchmark.select(F.lit(0).alias("item"), F.col(item_text_col).cast("string").alias("t")).where(F.col("t").isNotNull()), params)
+    made: list[Matchers] = []
 
-        return test(F.col(text_col).cast("string"))
+    @arrow_udf("boolean")
+    def holds(t: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Matchers(blocks, params))
+        out = np.zeros(len(t), bool)
+        for m in made[0]:
+            for r, _, _ in m.find(t):
+                out[r] = True
+        tidy()
+        return pa.array(out)
 
-    for block in range(blocks):
-        docs = docs.where(~holds(block))
-    return docs
+    return docs.where(~holds(F.col(f"`{text_col}`").cast("string")))
