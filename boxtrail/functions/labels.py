@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The names of the COCO classes, ids 0 to 79.
@@ -13,19 +13,32 @@ COCO = [
     "bed", "dining table", "toilet", "tv", "laptop", "mouse", "remote", "keyboard", "cell phone", "microwave", "oven", "toaster", "sink", "refrigerator", "book", "clock", "vase", "scissors", "teddy bear", "hair drier", "toothbrush",
 ]
 
-# Backbones and number formats of the model variants; the first format without a suffix is fp32.
-BACKBONES = {"r18vd": ("fp16", "fp32"), "r34vd": ("fp16", "fp32"), "r50vd": ("fp16", "fp32", "uint8"), "r101vd": ("fp16", "fp32")}
+# Variant, file, display name and aliases of the models.
+MODELS = [
+    ("r18vd_fp16", "rtdetr_v2_r18vd_fp16.onnx", "RT-DETR R18 (FP16)", ["r18vd_fp16", "r18_fp16", "r18-fp16"]),
+    ("r18vd_fp32", "rtdetr_v2_r18vd_fp32.onnx", "RT-DETR R18 (FP32)", ["r18vd_fp32", "r18_fp32", "r18-fp32", "r18vd", "r18"]),
+    ("r34vd_fp16", "rtdetr_v2_r34vd_fp16.onnx", "RT-DETR R34 (FP16)", ["r34vd_fp16", "r34_fp16", "r34-fp16"]),
+    ("r34vd_fp32", "rtdetr_v2_r34vd_fp32.onnx", "RT-DETR R34 (FP32)", ["r34vd_fp32", "r34_fp32", "r34-fp32", "r34vd", "r34"]),
+    ("r50vd_fp16", "rtdetr_v2_r50vd_fp16.onnx", "RT-DETR R50 (FP16)", ["r50vd_fp16", "r50_fp16", "r50-fp16"]),
+    ("r50vd_fp32", "rtdetr_v2_r50vd_fp32.onnx", "RT-DETR R50 (FP32)", ["r50vd_fp32", "r50_fp32", "r50-fp32", "r50vd", "r50"]),
+    ("r50vd_uint8", "rtdetr_v2_r50vd_uint8.onnx", "RT-DETR R50 (UINT8)", ["r50vd_uint8", "r50_uint8", "r50-uint8"]),
+    ("r101vd_fp16", "rtdetr_v2_r101vd_fp16.onnx", "RT-DETR R101 (FP16)", ["r101vd_fp16", "r101_fp16", "r101-fp16"]),
+    ("r101vd_fp32", "rtdetr_v2_r101vd_fp32.onnx", "RT-DETR R101 (FP32)", ["r101vd_fp32", "r101_fp32", "r101-fp32", "r101vd", "r101"]),
+]
 
 
-def model_variants() -> list[tuple[str, str, str, list[str]]]:
-    """(variant, file, display name, aliases) of every model."""
-    out = []
-    for backbone, formats in BACKBONES.items():
-        short = backbone.removesuffix("vd")
-        for f in formats:
-            plain = [backbone, short] if f == "fp32" else []
-            out.append((f"{backbone}_{f}", f"rtdetr_v2_{backbone}_{f}.onnx", f"RT-DETR {short.upper()} ({f.upper()})", [f"{backbone}_{f}", f"{short}_{f}", f"{short}-{f}", *plain]))
-    return out
+def label_table(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(class_id, class_name): COCO's names, and those of `more` (a table of the same columns) for ids beyond them. A model with more
+    classes, as those of Objects365, brings its names this way: `read_names` of a file, or any table."""
+    coco = spark.createDataFrame(list(enumerate(COCO)), "class_id long, class_name string")
+    return coco if more is None else coco.unionByName(more.select("class_id", "class_name").where(F.col("class_id") >= len(COCO)))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """(class_id, class_name) of a text file with a name on each line, the first one's id 0. Lines of blanks count, but name nothing."""
+    lines = F.split(F.regexp_replace(F.col("value"), "\r", ""), "\n")
+    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(lines).alias("class_id", "class_name"))
+    return rows.select(F.col("class_id").cast("long"), F.trim("class_name").alias("class_name")).where("class_name <> ''")
 
 
 def capitalized(name: Column) -> Column:
@@ -100,6 +113,6 @@ def parse_percent(text: Column) -> Column:
 def parse_model(text: Column) -> Column:
     """The variant that a name means, whatever its case; null if none."""
     out = F.lit(None).cast("string")
-    for variant, _, _, aliases in model_variants():
+    for variant, _, _, aliases in MODELS:
         out = F.when(F.lower(text).isin(*aliases), variant).otherwise(out)
     return out

@@ -29,6 +29,18 @@ def latency(frames: DataFrame, order: str, ms: str = "ms", warm_up: int = 10, by
     )
 
 
+def capture_info(frames: DataFrame, by: str = "stream_id", order: str = "frame_id", ts: str = "ts", declared: str | None = None) -> DataFrame:
+    """frames with their stream's fps (the declared one, else by its first and last time; 20 where that is no positive number),
+    seconds from the stream's first frame at which each is due at that rate, and whether it is the stream's last one."""
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = frames.groupBy(by).agg(F.count("*").alias("n"), F.min(now).alias("first"), F.max(now).alias("last"), F.max(order).alias("end"), *([F.max(declared).alias("said")] if declared else []))
+    measured = F.try_divide((F.col("n") - 1) * 1e6, F.col("last") - F.col("first"))
+    fps = F.coalesce(F.col("said").cast("double"), measured) if declared else measured
+    info = ends.select(F.col(by), "end", F.when(fps > 0, fps).otherwise(20.0).alias("fps"))
+    start = Window.partitionBy(by).orderBy(order)
+    return frames.join(info, by).withColumn("due", (F.row_number().over(start) - 1) / F.col("fps")).withColumn("is_last", F.col(order) == F.col("end")).drop("end")
+
+
 def frame_steps(frames: DataFrame, by: str = "stream_id", ts: str = "ts", least: float = 0.001, most: float = 0.2) -> Column:
     """Seconds since the frame before, within bounds; the first frame has the least."""
     w = Window.partitionBy(by).orderBy(ts)

@@ -118,6 +118,17 @@ def best_pairs(pairs: DataFrame, threshold: float = 0.3, method: str = "min") ->
     return ordered.mapInPandas(run, "stream_id long, frame_id long, l_id long, r_id long, iou double")
 
 
+def total_cost(pairs: DataFrame) -> DataFrame:
+    """By picture: the number of assigned pairs and their total cost, in whole thousandths of 1 - iou as the assignment counts them."""
+    thousandths = F.floor((1 - F.col("iou")) * 1000)
+    return pairs.groupBy(*FRAME).agg(F.count("*").alias("n_pairs"), (F.sum(thousandths) / 1000).alias("cost"))
+
+
+def assigned(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (detections, side l) with the r_id and iou that they are assigned, null where none is: an assignment as a vector."""
+    return rows.join(pairs.withColumnRenamed("l_id", "det_id"), [*FRAME, "det_id"], "left")
+
+
 def unassigned(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """Detections (side l) or tracks (side r) that no pair holds."""
     return rows.join(pairs.select(*FRAME, F.col(f"{side}_id").alias("det_id")), [*FRAME, "det_id"], "left_anti")

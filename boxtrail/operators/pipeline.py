@@ -54,10 +54,11 @@ def detect_and_clean(predictions: DataFrame, labels: DataFrame, width: int, heig
     return suppress.postprocess(detect(predictions, labels, width, height, detector, config), config.iou_threshold, config.nested_padding)
 
 
-def enrich(tracks: DataFrame, detections: DataFrame, threshold: float = 0.3) -> DataFrame:
+def enrich(tracks: DataFrame, detections: DataFrame, threshold: float = 0.3, method: str = "min") -> DataFrame:
     """tracks (stream_id, frame_id, det_id, boxes) with class and confidence of the detection that a second assignment
-    by overlap gives them; null where none does."""
-    got = assign.greedy_pairs(pairs.pair_join(tracks, detections), threshold)
+    by overlap gives them, of least cost (any method of assign.solve); null where none does."""
+    near = pairs.pair_join(tracks, detections)
+    got = assign.greedy_pairs(near, threshold) if method == "greedy" else assign.best_pairs(near, threshold, method)
     known = detections.select("stream_id", "frame_id", F.col("det_id").alias("r_id"), F.col("class_id").alias("_class"), F.col("confidence").alias("_confidence"))
     found = got.join(known, ["stream_id", "frame_id", "r_id"]).select("stream_id", "frame_id", F.col("l_id").alias("det_id"), "_class", "_confidence")
     keep = [c for c in tracks.columns if c not in ("class_id", "confidence")]

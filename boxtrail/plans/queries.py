@@ -212,7 +212,7 @@ def class_list_filter(spark, sf_dir):
 
 @query("class_name_filter", "SELECT det_id, CASE class_id WHEN 0 THEN 'Person' ELSE 'Bicycle' END AS class_name FROM d WHERE class_id = 0", "d")
 def class_name_filter(spark, sf_dir):
-    named = lb.with_names(dense(spark, sf_dir), _labels(spark)).withColumn("class_name", lb.capitalized(F.col("class_name")))
+    named = lb.with_names(dense(spark, sf_dir), lb.label_table(spark)).withColumn("class_name", lb.capitalized(F.col("class_name")))
     return named.where(F.col("class_name").isin("Person", "car")).select("det_id", "class_name")
 
 
@@ -306,14 +306,38 @@ def best_assignment(spark, sf_dir):
     return assign.best_pairs(pairs.pair_join(*_sides(spark, sf_dir)), 0.1).withColumn("iou", F.round("iou", 6))
 
 
-def _labels(spark):
-    return spark.createDataFrame(list(enumerate(lb.COCO)), "class_id long, class_name string")
+_BEST = "WITH p AS (" + _PAIRS_SQL + """), q AS (SELECT * FROM p WHERE iou > @MOST), l AS (SELECT stream_id, frame_id, l_id, row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY l_id) AS i FROM (SELECT DISTINCT stream_id, frame_id, l_id FROM q)),
+ c AS (SELECT stream_id, frame_id, i, r_id, floor((1 - iou) * 1000)::BIGINT AS cost FROM q JOIN l USING (stream_id, frame_id, l_id) UNION ALL SELECT stream_id, frame_id, i, NULL, 0 FROM l),
+ n AS (SELECT stream_id, frame_id, max(i) AS m, 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS cost FROM l GROUP BY ALL
+  UNION ALL SELECT n.stream_id, n.frame_id, m, n.i + 1, CASE WHEN c.r_id IS NULL THEN used ELSE list_append(used, c.r_id) END, n.cost + c.cost FROM n JOIN c ON n.stream_id = c.stream_id AND n.frame_id = c.frame_id AND c.i = n.i + 1 WHERE c.r_id IS NULL OR NOT list_contains(used, c.r_id)) """
 
 
-@query("class_names", "SELECT det_id, CASE class_id WHEN 0 THEN 'person' WHEN 1 THEN 'bicycle' END AS class_name FROM d WHERE det_id % 2 = 0 UNION ALL SELECT det_id, 'class_' || (class_id + 400) FROM d WHERE det_id % 2 = 1", "d")
+@query("assignment_cost", _BEST.replace("@MOST", "0.1") + "SELECT stream_id, frame_id, n_pairs, cost FROM (SELECT stream_id, frame_id, len(used) AS n_pairs, min(cost) / 1000 AS cost, row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY len(used) DESC) AS best FROM n WHERE i = m GROUP BY stream_id, frame_id, len(used)) WHERE best = 1", "d", recursive=True)
+def assignment_cost(spark, sf_dir):
+    """Pairs and total cost of the least-cost assignment of each picture; the SQL tries every assignment."""
+    return assign.total_cost(assign.best_pairs(pairs.pair_join(*_sides(spark, sf_dir)), 0.1))
+
+
+@query("assignment_vector", _GREEDY.replace("@MOST", "0.1") + "SELECT d.det_id, m.t.r AS r_id FROM d LEFT JOIN m ON m.t.l = d.det_id WHERE d.class_id = 0", "d", recursive=True)
+def assignment_vector(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return assign.assigned(left, assign.greedy_pairs(pairs.pair_join(left, right), 0.1)).select("det_id", "r_id")
+
+
+@query("capture_info", f"WITH f AS (SELECT stream_id, frame_id, min(ts) AS ts, count(*) AS n_detections, sum(w)::DOUBLE / 10 AS ms FROM d GROUP BY ALL), e AS (SELECT stream_id, count(*) AS n, max(epoch_us(ts)) - min(epoch_us(ts)) AS span, max(frame_id) AS last FROM f GROUP BY 1), r AS (SELECT stream_id, last, CASE WHEN stream_id % 2 = 0 THEN 20.0 ELSE (n - 1) * 1e6 / span END::DOUBLE AS fps FROM e) SELECT stream_id, frame_id, round(fps, 6) AS fps, round((row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) - 1) / fps, 6) AS due, frame_id = last AS is_last FROM f JOIN r USING (stream_id)", "d")
+def capture_info(spark, sf_dir):
+    """Streams that declare a rate of 0 get 20 frames a second, the others the rate of their frames."""
+    frames = _frames(spark, sf_dir).withColumn("said", F.when(F.col("stream_id") % 2 == 0, 0.0))
+    return analytics.capture_info(frames, declared="said").select("stream_id", "frame_id", _r(F.col("fps"), "fps"), _r(F.col("due"), "due"), "is_last")
+
+
+@query("class_names", "SELECT det_id, CASE (det_id % 4) * 1000 + class_id WHEN 0 THEN 'person' WHEN 1 THEN 'bicycle' WHEN 1000 THEN 'cow' WHEN 1001 THEN 'class_81' WHEN 2000 THEN 'class_363' WHEN 2001 THEN 'flashlight' WHEN 3000 THEN 'toothbrush' ELSE 'class_365' END AS class_name FROM d", "d")
 def class_names(spark, sf_dir):
-    d = dense(spark, sf_dir).withColumn("class_id", F.when(F.col("det_id") % 2 == 0, F.col("class_id")).otherwise(F.col("class_id") + 400))
-    return lb.with_names(d, _labels(spark)).select("det_id", "class_name")
+    """COCO's names, then those of a table of more classes (here two of them), then class_N."""
+    part, c = F.col("det_id") % 4, F.col("class_id")
+    beyond = F.when(part == 0, c).when(part == 1, c + 80).when(part == 2, c + 363).otherwise(F.when(c == 0, 79).otherwise(365))
+    more = spark.createDataFrame([(2, "chair"), (80, "cow"), (364, "flashlight")], "class_id long, class_name string")
+    return lb.with_names(dense(spark, sf_dir).withColumn("class_id", beyond), lb.label_table(spark, more)).select("det_id", "class_name")
 
 
 _NMS = """WITH g AS (SELECT stream_id, frame_id, class_id, list({'det_id': det_id, 'x': x, 'y': y, 'w': w, 'h': h, 'c': confidence} ORDER BY confidence DESC, det_id) AS a FROM d GROUP BY ALL),
@@ -349,7 +373,7 @@ def removal_counters(spark, sf_dir):
  SELECT class_id, class_name, count(det_id) AS n, round(coalesce(avg(confidence), 0), 6) AS avg_confidence, round(coalesce(stddev_pop(confidence), 0), 6) AS std_confidence, round(coalesce(min(confidence), 0), 6) AS min_confidence, round(coalesce(max(confidence), 0), 6) AS max_confidence
  FROM l LEFT JOIN u USING (class_id) GROUP BY 1, 2""", "d", recursive=True)
 def kept_class_distribution(spark, sf_dir):
-    return analytics.class_distribution(suppress.suppress(dense(spark, sf_dir)), _labels(spark).where("class_id < 3"))
+    return analytics.class_distribution(suppress.suppress(dense(spark, sf_dir)), lb.label_table(spark).where("class_id < 3"))
 
 
 # --- aggregations and windows -------------------------------------------------------------------
@@ -489,10 +513,22 @@ def text_functions(spark, sf_dir):
     return e.select("event_id", lb.capitalized(F.col("event_type")).alias("name"), F.upper("event_type").alias("glyphs"), F.size(lb.parse_ids(listed)).cast("long").alias("ids"), _r(lb.parse_percent((F.col("value") * 100).cast("string")), "share"))
 
 
-@query("models", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{v}', '{f}', '{n}')" for v, f, n, aliases in lb.model_variants() for a in [x.upper() for x in aliases]) + ") v(name, variant, file, shown)")
+@query(
+    "models",
+    """SELECT upper(name) AS name, variant, 'rtdetr_v2_' || variant || '.onnx' AS file, shown FROM (VALUES
+ ('r18vd_fp16', 'r18vd_fp16', 'RT-DETR R18 (FP16)'), ('r18_fp16', 'r18vd_fp16', 'RT-DETR R18 (FP16)'), ('r18-fp16', 'r18vd_fp16', 'RT-DETR R18 (FP16)'),
+ ('r18vd_fp32', 'r18vd_fp32', 'RT-DETR R18 (FP32)'), ('r18_fp32', 'r18vd_fp32', 'RT-DETR R18 (FP32)'), ('r18-fp32', 'r18vd_fp32', 'RT-DETR R18 (FP32)'), ('r18vd', 'r18vd_fp32', 'RT-DETR R18 (FP32)'), ('r18', 'r18vd_fp32', 'RT-DETR R18 (FP32)'),
+ ('r34vd_fp16', 'r34vd_fp16', 'RT-DETR R34 (FP16)'), ('r34_fp16', 'r34vd_fp16', 'RT-DETR R34 (FP16)'), ('r34-fp16', 'r34vd_fp16', 'RT-DETR R34 (FP16)'),
+ ('r34vd_fp32', 'r34vd_fp32', 'RT-DETR R34 (FP32)'), ('r34_fp32', 'r34vd_fp32', 'RT-DETR R34 (FP32)'), ('r34-fp32', 'r34vd_fp32', 'RT-DETR R34 (FP32)'), ('r34vd', 'r34vd_fp32', 'RT-DETR R34 (FP32)'), ('r34', 'r34vd_fp32', 'RT-DETR R34 (FP32)'),
+ ('r50vd_fp16', 'r50vd_fp16', 'RT-DETR R50 (FP16)'), ('r50_fp16', 'r50vd_fp16', 'RT-DETR R50 (FP16)'), ('r50-fp16', 'r50vd_fp16', 'RT-DETR R50 (FP16)'),
+ ('r50vd_fp32', 'r50vd_fp32', 'RT-DETR R50 (FP32)'), ('r50_fp32', 'r50vd_fp32', 'RT-DETR R50 (FP32)'), ('r50-fp32', 'r50vd_fp32', 'RT-DETR R50 (FP32)'), ('r50vd', 'r50vd_fp32', 'RT-DETR R50 (FP32)'), ('r50', 'r50vd_fp32', 'RT-DETR R50 (FP32)'),
+ ('r50vd_uint8', 'r50vd_uint8', 'RT-DETR R50 (UINT8)'), ('r50_uint8', 'r50vd_uint8', 'RT-DETR R50 (UINT8)'), ('r50-uint8', 'r50vd_uint8', 'RT-DETR R50 (UINT8)'),
+ ('r101vd_fp16', 'r101vd_fp16', 'RT-DETR R101 (FP16)'), ('r101_fp16', 'r101vd_fp16', 'RT-DETR R101 (FP16)'), ('r101-fp16', 'r101vd_fp16', 'RT-DETR R101 (FP16)'),
+ ('r101vd_fp32', 'r101vd_fp32', 'RT-DETR R101 (FP32)'), ('r101_fp32', 'r101vd_fp32', 'RT-DETR R101 (FP32)'), ('r101-fp32', 'r101vd_fp32', 'RT-DETR R101 (FP32)'), ('r101vd', 'r101vd_fp32', 'RT-DETR R101 (FP32)'), ('r101', 'r101vd_fp32', 'RT-DETR R101 (FP32)')) v(name, variant, shown)""",
+)
 def models(spark, sf_dir):
-    table = spark.createDataFrame([(v, f, n) for v, f, n, _ in lb.model_variants()], "variant string, file string, shown string")
-    names = spark.createDataFrame([(a.upper(),) for *_, aliases in lb.model_variants() for a in aliases] + [("none",)], "name string")
+    table = spark.createDataFrame([(v, f, n) for v, f, n, _ in lb.MODELS], "variant string, file string, shown string")
+    names = spark.createDataFrame([(a.upper(),) for *_, aliases in lb.MODELS for a in aliases] + [("none",)], "name string")
     return names.withColumn("variant", lb.parse_model(F.col("name"))).join(table, "variant").select("name", "variant", "file", "shown")
 
 
@@ -549,7 +585,7 @@ def _chain(spark, sf_dir):
     from boxtrail.config import DetectorConfig, PipelineConfig
 
     raw = raw_predictions(spark, sf_dir).withColumns({"stream_id": F.lit(0).cast("long"), "tile_idx": (F.col("frame_id") % 2).cast("int")})
-    return raw, _labels(spark).where("class_id in (0, 2)"), 1014, 640, DetectorConfig(confidence=0.02), PipelineConfig(classes=list(range(0, 64, 2)))
+    return raw, lb.label_table(spark).where("class_id in (0, 2)"), 1014, 640, DetectorConfig(confidence=0.02), PipelineConfig(classes=list(range(0, 64, 2)))
 
 
 @query("tiled_detections", _CHAIN_SQL, "raw")
@@ -569,10 +605,18 @@ def cleaned_detections(spark, sf_dir):
 
 @query("enriched_tracks", _GREEDY.replace("@MOST", "0.3") + "SELECT d.det_id, e.class_id, round(e.confidence, 6) AS confidence FROM d LEFT JOIN m ON m.t.l = d.det_id LEFT JOIN d e ON e.det_id = m.t.r WHERE d.class_id = 0", "d", recursive=True)
 def enriched_tracks(spark, sf_dir):
-    """Boxes of one class as tracks, those of the other as detections that they take class and confidence from."""
+    """Boxes of one class as tracks, those of the other as detections that they take class and confidence from, greedily."""
+    from boxtrail.operators.pipeline import enrich
+
+    return enrich(*_sides(spark, sf_dir), method="greedy").select("det_id", "class_id", _r(F.col("confidence"), "confidence"))
+
+
+@query("enriched_pictures", _BEST.replace("@MOST", "0.3") + ", b AS (SELECT stream_id, frame_id, max(len(used)) AS known FROM n WHERE i = m GROUP BY ALL) SELECT stream_id, frame_id, count(*) AS tracks, coalesce(any_value(known), 0) AS known FROM d LEFT JOIN b USING (stream_id, frame_id) WHERE class_id = 0 GROUP BY ALL", "d", recursive=True)
+def enriched_pictures(spark, sf_dir):
+    """By picture, how many boxes take a class by the assignment of least cost; the SQL tries every assignment."""
     from boxtrail.operators.pipeline import enrich
 
-    return enrich(*_sides(spark, sf_dir)).select("det_id", "class_id", _r(F.col("confidence"), "confidence"))
+    return enrich(*_sides(spark, sf_dir)).groupBy("stream_id", "frame_id").agg(F.count("*").alias("tracks"), F.count("class_id").alias("known"))
 
 
 @query("overlay_lines", "SELECT stream_id, frame_id, 'Frame: ' || frame_id || ' # Tracks: ' || n || ' # Runs: ' || row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS line FROM (SELECT stream_id, frame_id, count(DISTINCT gt_id) AS n FROM s GROUP BY 1, 2)", "s")
@@ -600,3 +644,13 @@ def stream_counts(spark, sf_dir):
     from boxtrail.streaming.live import run_counts
 
     return run_counts(dense(spark, sf_dir))
+
+
+@query("stream_fan_out", "SELECT 'classes' AS sink, class_id AS key, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'sure', stream_id, count(*) FROM d WHERE confidence > 0.5 GROUP BY ALL", "d")
+def stream_fan_out(spark, sf_dir):
+    """One stream into two tables, batch by batch."""
+    from boxtrail.streaming.live import run_fan_out
+
+    out = run_fan_out(dense(spark, sf_dir), {"classes": lambda b: b.groupBy("class_id").agg(F.count("*").alias("n")), "sure": lambda b: b.where("confidence > 0.5").groupBy("stream_id").agg(F.count("*").alias("n"))})
+    total = lambda sink, key: out[sink].groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("n")).select(F.lit(sink).alias("sink"), "key", "n")
+    return total("classes", "class_id").unionByName(total("sure", "stream_id"))

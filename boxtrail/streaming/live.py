@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -82,7 +83,7 @@ def live_tracks(stream: DataFrame, config: TrackerConfig = TrackerConfig(), late
 
 def live_counts(stream: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Detections by window of event time and class."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", window), "class_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "class_id", "n")
+    return stream.withWatermark("ts", late).where(F.col("stream_id") != END_STREAM).groupBy(F.window("ts", window), "class_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "class_id", "n")
 
 
 def live_sessions(stream: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -101,7 +102,7 @@ def source(spark: SparkSession, path: str, files_per_trigger: int = 2) -> DataFr
 
 
 def staged(detections: DataFrame, path: str, files: int = 4) -> None:
-    """detections as files that appear in the order of time, so that a stream over them is one in order; the last row
+    """For replays: detections as files that appear in the order of time (one for each part, as a trigger takes files, not parts), so that a stream over them is one in order; the last row
     belongs to no stream and stands a day after all others, so that the watermark passes them."""
     columns = [c.split()[0] for c in DETECTIONS.split(", ")]
     rows = detections.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
@@ -141,8 +142,26 @@ def run_counts(detections: DataFrame) -> DataFrame:
     spark = detections.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     staged(detections, path)
-    stream = source(spark, path, 1).where(F.col("stream_id") != END_STREAM)
-    counts = stream.groupBy(F.window("ts", "1 hour"), "class_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "class_id", "n")
-    name = f"counts_{uuid.uuid4().hex}"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return run_to_table(live_counts(source(spark, path, 1)), "counts")
+
+
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, base: str) -> None:
+    """Runs a stream over all that is there into several tables under base at once, each by a function of a batch; the batch is kept while it is
+    written. A batch that is run again after a failure replaces what it wrote before, so each counts once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        for name, make in sinks.items():
+            make(kept).write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+        kept.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_fan_out(detections: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """fan_out() over the same rows; the tables that come of it."""
+    spark = detections.sparkSession
+    base = f"{shared_dir(spark).rstrip('/')}/fan-{uuid.uuid4().hex}"
+    staged(detections, f"{base}/in")
+    fan_out(source(spark, f"{base}/in", 1).where(F.col("stream_id") != END_STREAM), sinks, f"{base}/checkpoint", base)
+    return {name: spark.read.parquet(f"{base}/{name}") for name in sinks}

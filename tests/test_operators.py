@@ -120,3 +120,20 @@ def test_files_by_suffix(spark):
 
     files = spark.createDataFrame([("a/x.JPG",), ("a/y.jpg",), ("b.c/z.png",), ("none",)], "path string")
     assert {r.suffix: r.n for r in count_by_suffix(files).collect()} == {"jpg": 2, "png": 1, "": 1}
+
+
+def test_names_beyond_cocos(spark, tmp_path):
+    from boxtrail.functions import labels as lb
+
+    (tmp_path / "names.txt").write_text("\n".join(["person", *(f"thing {i}" for i in range(1, 365))]) + "\n")
+    names = {r.class_id: r.class_name for r in lb.label_table(spark, lb.read_names(spark, str(tmp_path / "names.txt"))).collect()}
+    assert len(names) == 365 and names[1] == "bicycle" and names[79] == "toothbrush" and names[80] == "thing 80" and names[364] == "thing 364"
+    assert lb.label_table(spark).count() == 80
+
+
+def test_capture_info_defaults(spark):
+    from boxtrail.operators import analytics
+
+    rows = spark.sql("SELECT * FROM VALUES (1, 0, TIMESTAMP'2024-01-01 00:00:00'), (1, 1, TIMESTAMP'2024-01-01 00:00:02'), (2, 5, TIMESTAMP'2024-01-01 00:00:00'), (3, 0, NULL) AS t(stream_id, frame_id, ts)")
+    got = sorted((r.stream_id, r.frame_id, r.fps, r.due, r.is_last) for r in analytics.capture_info(rows).collect())
+    assert got == [(1, 0, 0.5, 0.0, False), (1, 1, 0.5, 2.0, True), (2, 5, 20.0, 0.0, True), (3, 0, 20.0, 0.0, True)]
