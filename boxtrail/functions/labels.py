@@ -37,7 +37,7 @@ def label_table(spark: SparkSession, more: DataFrame | None = None) -> DataFrame
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(class_id, class_name) of a text file with a name on each line, the first one's id 0. Lines of blanks count, but name nothing."""
     lines = F.split(F.regexp_replace(F.col("value"), "\r", ""), "\n")
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(lines).alias("class_id", "class_name"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("class_id", "class_name"))
     return rows.select(F.col("class_id").cast("long"), F.trim("class_name").alias("class_name")).where("class_name <> ''")
 
 

@@ -83,7 +83,8 @@ def live_tracks(stream: DataFrame, config: TrackerConfig = TrackerConfig(), late
 
 def live_counts(stream: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Detections by window of event time and class."""
-    return stream.withWatermark("ts", late).where(F.col("stream_id") != END_STREAM).groupBy(F.window("ts", window), "class_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "class_id", "n")
+    real = (F.col("stream_id") != END_STREAM) | F.col("ts").isNull()  # names ts, so that it isn't pushed before the watermark
+    return stream.withWatermark("ts", late).where(real).groupBy(F.window("ts", window), "class_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "class_id", "n")
 
 
 def live_sessions(stream: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
