@@ -91,9 +91,10 @@ def best_pairs(pairs: DataFrame, threshold: float = 0.3, method: str = "min") ->
     def solved(left: np.ndarray, right: np.ndarray, iou: np.ndarray) -> list[tuple[int, int, float]]:
         a, i = np.unique(left, return_inverse=True)
         b, j = np.unique(right, return_inverse=True)
-        cost = np.ones((len(a), len(b)))
-        cost[i, j] = 1 - iou
-        return [(int(a[x]), int(b[y]), 1 - cost[x, y]) for x, y in solve(cost, 1 - threshold, method) if 1 - cost[x, y] > threshold]
+        near = np.zeros((len(a), len(b)))
+        near[i, j] = iou
+        cost = np.where(near > threshold, 1 - near, 1.0)
+        return [(int(a[x]), int(b[y]), near[x, y]) for x, y in solve(cost, 1 - threshold, method) if near[x, y] > threshold]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[np.ndarray] | None = None
