@@ -11,7 +11,8 @@ over a corpus, and only what can reach `length` bytes is looked at:
    of each asks for its bytes.
 3. Those contexts meet by gram. Suffixes that start in them and have an equal partner by hash are put in the order of their bytes
    (to `length` of them), with the longest common prefixes of neighbours; previous and next smaller places in that order give each
-   suffix its longest previous factor (`factors`), and those of `length` bytes are covered. Only bytes decide here.
+   suffix its longest previous factor (`factors`), and those of `length` bytes are covered. Only bytes decide here. Suffixes go in
+   passes of about `suffixes_per_pass`, equal ones together: only equal ones reach `length` bytes, so no other pass matters to them.
    Grams that a sample of `sample_docs` texts shows to stand in `hot` places or more go another way in both steps: as rows
    whose smallest place is an aggregate (combined before the shuffle) and that a splittable join holds against it, so no
    task meets all places of one gram. There an equal 128-bit hash stands for equal bytes.
@@ -48,6 +49,7 @@ class Params:
     contexts_per_shard: int = 50_000
     sample_docs: int = 20_000
     hot: int = 200_000
+    suffixes_per_pass: int = 65_536
     seed: int = 0
 
     @property
@@ -159,8 +161,8 @@ def suffix_order(raw: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[n
 
     def shared(order: np.ndarray) -> np.ndarray:
         out = np.zeros(len(order), np.int64)
-        for a in range(1, len(order), 65_536):
-            k = np.arange(a, min(a + 65_536, len(order)))
+        for a in range(1, len(order), 8192):
+            k = np.arange(a, min(a + 8192, len(order)))
             differ = raw[order[k]] != raw[order[k - 1]]
             out[k] = np.where(differ.any(1), differ.argmax(1), width)
         return out
@@ -294,25 +296,32 @@ def _match_anchors(p: Params):
     """Of a shard: stretches that are covered (kind 0: place to end), and anchors whose bytes are asked for (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8, np.uint64, np.uint64, np.uint64)
-        for blob in zip(*(table.column(c) for c in ("id", "tid", "text", "place", "left", "right", "gram", "context", "second")), strict=True):
-            x = [np.frombuffer(b.as_buffer(), k) for b, k in zip(blob, kinds, strict=True)]
-            for c, v in zip(cols, (x[0][x[2]], x[1][x[2]], *x[3:]), strict=True):
-                c.append(v)
-        ids, tid, place, left, right, gram, context, second = (np.concatenate(c) for c in cols)
-        del cols
+        names = {"id": np.int64, "tid": np.int64, "text": np.int32, "place": np.int32, "left": np.uint8, "right": np.uint8, "gram": np.uint64, "context": np.uint64, "second": np.uint64}
+        blobs = [[np.frombuffer(b.as_buffer(), k) for b, k in zip(blob, names.values(), strict=True)] for blob in zip(*(table.column(c) for c in names), strict=True)]
         # only grams that stand in two places, in one text or in several
+        gram = np.concatenate([x[6] for x in blobs])
         order = np.argsort(gram, kind="stable")
         number = np.cumsum(_runs(gram[order])) - 1
-        some = order[(np.bincount(number) > 1)[number]] if len(order) else order
-        ids, tid, place, left, right, gram, context, second = (c[some] for c in (ids, tid, place, left, right, gram, context, second))
+        some = np.zeros(len(gram), bool)
+        some[order] = (np.bincount(number) > 1)[number] if len(order) else False
+        del gram, order, number
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+        a = 0
+        for x in blobs:
+            on = some[a : a + len(x[6])]
+            text = x[2][on]
+            for c, v in zip(cols, (x[0][text], x[1][text], *(v[on] for v in x[3:])), strict=True):
+                c.append(v)
+            a += len(on)
+        ids, tid, place, left, right, gram, context, second = (np.concatenate(c) for c in cols)
+        del blobs, cols, some
         order = np.lexsort((place, tid, ids, second, context, gram))
         # of copies of a text that came from several tasks, the one with the smallest id stays
         same = np.lexsort((ids, place, tid, gram))
         keep = np.zeros(len(gram), bool)
         keep[same[_runs(gram[same]) | _runs(tid[same]) | _runs(place[same])]] = True
         order = order[keep[order]]
+        del same, keep
         ids, tid, place, left, right, gram, context, second = (c[order] for c in (ids, tid, place, left, right, gram, context, second))
         new_gram = _runs(gram)
         first = new_gram | _runs(context) | _runs(second)
@@ -322,12 +331,15 @@ def _match_anchors(p: Params):
         gone = np.flatnonzero(~first & (left.astype(np.int64) + right >= p.length))
         begin, end = place[gone] - left[gone], place[gone] + right[gone].astype(np.int32)
         both = lambda x, y, t: pa.array(np.concatenate((x, y)), t)
-        return pa.table(
+        found = pa.table(
             {
                 "kind": both(np.zeros(len(gone), np.int32), np.ones(len(ask), np.int32), pa.int32()), "tid": both(tid[gone], tid[ask], pa.int64()), "id": both(ids[gone], ids[ask], pa.int64()),
                 "place": both(begin, place[ask], pa.int32()), "end": both(end, place[ask], pa.int32()), "gram": both(gram[gone].astype(np.int64), gram[ask].astype(np.int64), pa.int64()),
             }
         )
+        del ids, tid, place, left, right, gram, context, second, order, new_gram, first, number, contexts, ask, gone, begin, end
+        tidy()
+        return found
 
     return run
 
@@ -366,6 +378,32 @@ def _send_contexts(asked: DataFrame, n_shards: int, p: Params) -> DataFrame:
     return asked.mapInArrow(run, "shard int, id binary, tid binary, place binary, left binary, right binary, gram binary, raw binary")
 
 
+def _reached(raw: np.ndarray, on: np.ndarray, key: np.ndarray, first: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of the suffixes in on (by row of raw and cell, as key is) have a longest previous factor of n bytes; first is the place of a
+    row's cell 0. Equal suffixes have equal keys. Where there are over 2 * size, lots of rows go first, and only suffixes without a factor
+    in their lot meet again: of equal ones the first of each lot."""
+    suffix, out = np.lib.stride_tricks.sliding_window_view(raw, n, axis=1), np.zeros(on.shape, bool)
+
+    def settle(a: int, b: int) -> None:
+        r, w = np.nonzero(on[a:b])
+        r += a
+        order = np.argsort(key[r, w], kind="stable")
+        number = np.cumsum(_runs(key[r, w][order])) - 1
+        order = order[(np.bincount(number) > 1)[number]] if len(order) else order  # those with a partner
+        r, w = r[order], w[order]
+        start = first[r] + w
+        order, lcp = suffix_order(suffix[r, w], key[r, w], start)
+        order = order[factors(lcp, start[order]) >= n]
+        out[r[order], w[order]] = True
+
+    if np.count_nonzero(on) > 2 * size:
+        for a, b in passes(np.concatenate(([0], np.cumsum(on.sum(1)))), size):
+            settle(a, b)
+        on = on & ~out
+    settle(0, len(on))
+    return out
+
+
 def _match_contexts(p: Params, lot: int = 4096):
     """Of a shard's contexts: the stretches (tid, place, end) that windows with an earlier match cover."""
     width, n = p.before + p.length, p.length
@@ -376,29 +414,24 @@ def _match_contexts(p: Params, lot: int = 4096):
         order = np.lexsort((tid, ids))
         text = np.empty(rows, np.int64)
         text[order] = np.cumsum(_runs(ids[order]) | _runs(tid[order]))  # texts in the order of the corpus
-        # a window's hash, by place in its context; cells outside the text take no part
-        h = np.stack([rolling(raw[i], n) for i in range(rows)]) if rows < 64 else _rolling_rows(raw, n)
         back = p.before - np.arange(p.span)  # how far before its anchor a window begins
-        real = (back <= left[:, None]) & (n - back <= right[:, None])
-        r, w = np.nonzero(real)
-        key = mix(h[r, w])
-        order = np.argsort(key, kind="stable")
-        new = _runs(key[order])
-        on = np.sort(order[(np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]]) if len(order) else order  # those with a partner
-        r, w, key = r[on], w[on], key[on]
-        if not len(r):
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        start = (text[r] << 32) + place[r] - p.before + w
-        order, lcp = suffix_order(np.lib.stride_tricks.sliding_window_view(raw, n, axis=1)[r, w], key, start)
-        hit = order[factors(lcp, start[order]) >= n]
-        r, w = r[hit], w[hit]
-        order = np.lexsort((w, r))
-        r, w = r[order], w[order]
-        begin = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))) if len(r) else np.zeros(0, np.int64)
-        last = np.append(begin[1:], len(r)) - 1
-        start = place[r[begin]] - p.before + w[begin]
-        return tid[r[begin]], start, start + (w[last] - w[begin]) + n
+        real = (back <= left[:, None]) & (n - back <= right[:, None])  # cells outside the text take no part
+        # a window's hash, by place in its context, and the pass that it goes to
+        n_passes = -(-int(real.sum()) // p.suffixes_per_pass)
+        key, turn = np.empty((rows, p.span), np.uint64), np.empty((rows, p.span), np.min_scalar_type(n_passes))
+        for a in range(0, rows, 512):
+            k = slice(a, a + 512)
+            key[k] = mix(_rolling_rows(raw[k], n))
+            turn[k] = np.where(real[k], key[k] % np.uint64(max(n_passes, 1)), n_passes)
+        hit = np.zeros((rows, p.span), bool)
+        first = (text << 32) + place - p.before
+        for i in range(n_passes):
+            hit |= _reached(raw, turn == i, key, first, n, p.suffixes_per_pass)
+        edge = np.zeros((rows, 1), bool)
+        r, w = np.nonzero(hit & ~np.hstack((edge, hit[:, :-1])))
+        last = np.nonzero(hit & ~np.hstack((hit[:, 1:], edge)))[1]
+        start = place[r] - p.before + w
+        return tid[r], start, start + (last - w) + n
 
     def run(table: pa.Table) -> pa.Table:
         kinds = {"id": np.int64, "tid": np.int64, "place": np.int32, "left": np.uint8, "right": np.uint8, "gram": np.uint64, "raw": np.uint8}
@@ -418,6 +451,8 @@ def _match_contexts(p: Params, lot: int = 4096):
             out.append(windows(ids[k], tid[k], place[k], left[k], right[k], gram[k], raw[order[k]]))
             a = b
         t, s, e = (np.concatenate([np.zeros(0, np.int64)] + [o[x] for o in out]) for x in range(3))
+        del col, raw, order, same, ids, tid, place, left, right, gram, begin, out
+        tidy()
         return pa.table({"tid": pa.array(t, pa.int64()), "place": pa.array(s.astype(np.int32), pa.int32()), "end": pa.array(e.astype(np.int32), pa.int32())})
 
     return run

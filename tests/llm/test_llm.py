@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -245,6 +246,50 @@ def test_repeats_of_patterned_strings(spark):
     assert got == sorted(removed(rows, 100))
 
 
+def test_repeats_in_small_passes(spark):
+    rnd = random.Random(12)
+    pool = ["".join(rnd.choice("abc") for _ in range(rnd.randint(10, 90))) for _ in range(20)]
+    rows = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 9)))) for i in range(120)] + [(200 + i, "a" * rnd.randint(90, 200) + pool[i]) for i in range(20)]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), params=repeats.Params(suffixes_per_pass=300)).collect())
+    assert got == sorted(removed(rows, 100))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_equal_suffixes_meet_across_lots(clash):
+    """Also where one key has more suffixes than a lot, a place comes twice, or different suffixes have one key."""
+    rng = np.random.default_rng(6)
+    raw, first, on = rng.integers(0, 2, (60, 8), dtype=np.uint8), rng.integers(0, 150, 60), rng.random((60, 5)) < 0.8
+    rows = {(i, j): raw[i, j : j + 4].tobytes() for i, j in np.argwhere(on).tolist()}
+    least = {}
+    for (i, j), x in rows.items():
+        least[x] = min(first[i] + j, least.get(x, 1000))
+    key = np.zeros((60, 5), np.uint64) if clash else np.array([[int.from_bytes(raw[i, j : j + 4].tobytes()) for j in range(5)] for i in range(60)], np.uint64)
+    for size in (2, 7, 64, 1000):
+        got = repeats._reached(raw, on, key, first, 4, size)
+        assert {(i, j) for i, j in np.argwhere(got).tolist()} == {(i, j) for (i, j), x in rows.items() if first[i] + j > least[x]}
+
+
+@pytest.mark.parametrize("one_byte", [False, True])
+def test_a_gram_in_many_contexts_takes_little_memory(one_byte):
+    """30,000 contexts of one gram, in each of which most windows start earlier too, or are all the same."""
+    p, n = repeats.Params(), 30_000
+    raw = np.random.default_rng(7).integers(97, 123, (200, p.before + p.length), dtype=np.uint8)[np.arange(n) % 200]
+    raw[:, 3] = np.arange(n) // 200 + 100
+    if one_byte:  # from cell 4 on, where the texts begin
+        raw[:, :4], raw[:, 4:] = 0, 97
+    parts = {"id": np.arange(n), "tid": np.arange(n) + 7, "place": np.full(n, 500, np.int32), "left": np.full(n, p.before - 4 * one_byte, np.uint8), "right": np.full(n, p.length, np.uint8), "gram": np.full(n, 9), "raw": raw}
+    table = pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in parts.items()})
+    tracemalloc.start()
+    try:
+        got = repeats._match_contexts(p)(table)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(got.column("tid").to_pylist()) == list(range(7 if one_byte else 207, n + 7))
+    assert collections.Counter(zip(got.column("place").to_pylist(), got.column("end").to_pylist(), strict=True)) == collections.Counter({(436, 600): n - 1, (437, 600): 1} if one_byte else {(436, 600): n - 200})
+    assert most < 100e6
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 
