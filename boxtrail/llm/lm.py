@@ -11,7 +11,8 @@ where c(h *) sums the pairs of a context, so the probabilities of a context add
 
 Every slice has room for all entries of its shard, so the filters grow with the tokens and pairs and no count is left out.
 Slices of consecutive shards go out in blocks of at most about `block_bytes`, a broadcast each. A worker holds one block at
-a time: of several, it takes each in turn for a lot of texts (a batch, or `lot_bytes` of it). The exact unigram score (base_score) needs every count: the end and the `head` most frequent tokens are broadcast (a bounded table that covers
+a time: of several, it takes each in turn for a lot of texts (a batch, or `lot_bytes` of it), whose bytes are read in passes
+of at most PASS_BYTES. The exact unigram score (base_score) needs every count: the end and the `head` most frequent tokens are broadcast (a bounded table that covers
 most tokens, and every hot one), the rest are joined on the token.
 
 Tokens are words between white bytes, ASCII letters lowered, and one end after each text; the end is also the context of
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 from boxtrail.llm.kit import LOWER, PASS_BYTES, drop_written, mix, passes, shards, tidy, utf8, word_hashes, words, written
 
+#: Keys that are probed at a time.
+PROBE_KEYS = 1 << 17
+
 #: The end token; white space keeps it apart from every word.
 END = "\n"
 END_HASH = np.uint64(0x5EED0E4D5EED0E4D)
@@ -222,6 +226,8 @@ def _pair_blobs(texts: DataFrame, n_shards: int) -> DataFrame:
             cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([key[a:b].tobytes()], pa.binary()), pa.array([count[a:b].tobytes()], pa.binary())], ["shard", "keys", "counts"])
+            del batch, data, keys, key, count, shard, order
+            tidy()
 
     return texts.mapInArrow(run, "shard int, keys binary, counts binary")
 
@@ -322,6 +328,22 @@ def _token_keys(tokens: pa.Array) -> np.ndarray:
 # --- scoring ------------------------------------------------------------------------------------
 
 
+@dataclass
+class Read:
+    """What a pass over rows i to j keeps until the filters have been probed; places are those in tokens and pairs."""
+
+    i: int
+    j: int
+    tokens: np.ndarray
+    token_at: np.ndarray
+    pairs: np.ndarray
+    pair_at: np.ndarray
+    n_tokens: np.ndarray
+    n_head: np.ndarray
+    base: np.ndarray
+    tail: pa.ListArray
+
+
 class Scorer:
     def __init__(self, m: Model, blocks: list[Broadcast]):
         self.m, self.blocks = m, blocks
@@ -335,30 +357,60 @@ class Scorer:
         for shared in self.blocks:
             block = self.only or (shared.load_from_path(shared._path) if getattr(shared, "_path", None) else shared.value)
             for total, f, key in zip(out, (block.tokens, block.contexts, block.pairs), (token, context, pair), strict=True):
-                total += f.counts(key)
+                for i in range(0, len(key), PROBE_KEYS):
+                    total[i : i + PROBE_KEYS] += f.counts(key[i : i + PROBE_KEYS])
             del block
         return out
 
-    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """By row: tokens, those in the head, the head's part of the unigram sum, the model's log10 probability; and the
-        words outside the head: starts, ends, rows."""
-        m, n = self.m, len(at) - 1
-        h, r, starts, ends, place = token_hashes(data, at)
-        uniq, inv = np.unique(h, return_inverse=True)
+    def _read(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> Read:
+        m, n = self.m, j - i
+        d = data[offsets[i] : offsets[j]]
+        h, r, starts, ends, place = token_hashes(d, offsets[i : j + 1] - offsets[i])
+        uniq, token_at = np.unique(h, return_inverse=True)
+        pairs, pair_at = np.unique(pair_keys(h, r), return_inverse=True)
         spot = np.minimum(np.searchsorted(m.head_hash, uniq), max(len(m.head_hash) - 1, 0))
-        exact = np.where(m.head_hash[spot] == uniq, m.head_count[spot], 0)[inv] if len(m.head_hash) else np.zeros(len(h), np.int64)
+        exact = np.where(m.head_hash[spot] == uniq, m.head_count[spot], 0)[token_at] if len(m.head_hash) else np.zeros(len(h), np.int64)
         in_head = exact > 0
-        pairs, pair_at = np.unique(pair_keys(h, r), return_inverse=True)
-        token, context, pair = self._counts(uniq, context_key(np.append(uniq, END_HASH)), pairs)
-        p1 = ((token + 0.1) / (m.n + 0.1 * (m.v + 1)))[inv]
-        before = np.empty(len(h))
-        before[1:] = context[inv[:-1]]
-        before[:1] = context[-1]
-        pair = np.where(before > 0, pair[pair_at], 0.0)
-        logp = np.log10((np.minimum(pair, before) + m.mu * p1) / (before + m.mu))
         by_row = lambda w: np.bincount(r, weights=w, minlength=n)
         tail = np.flatnonzero(~in_head[place])
-        return np.bincount(r, minlength=n), by_row(in_head).astype(np.int64), by_row(np.where(in_head, np.log10(exact + 0.1), 0.0)), by_row(logp), (starts[tail], ends[tail], r[place][tail])
+        return Read(
+            i, j, uniq, token_at.astype(np.int32), pairs, pair_at.astype(np.int32), np.bincount(r, minlength=n), by_row(in_head).astype(np.int64),
+            by_row(np.where(in_head, np.log10(exact + 0.1), 0.0)), _tails(_strings(d, starts[tail], ends[tail]), r[place][tail], n),
+        )
+
+    def _score(self, x: Read, token: np.ndarray, pair: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """The model's log10 probability by row, from the counts of a lot's tokens, their contexts (the end's last) and pairs."""
+        m, at = self.m, np.searchsorted(token, x.tokens)
+        p1 = ((counts[0][at] + 0.1) / (m.n + 0.1 * (m.v + 1)))[x.token_at]
+        before = np.empty(len(x.token_at))
+        before[1:] = counts[1][at][x.token_at[:-1]]
+        before[:1] = counts[1][-1]
+        seen = np.where(before > 0, counts[2][np.searchsorted(pair, x.pairs)][x.pair_at], 0.0)
+        logp = np.log10((np.minimum(seen, before) + m.mu * p1) / (before + m.mu))
+        return np.bincount(np.repeat(np.arange(x.j - x.i), x.n_tokens), weights=logp, minlength=x.j - x.i)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.ListArray]]:
+        """By rows i to j, a pass at a time: tokens, those in the head, the head's part of the unigram sum, the model's log10
+        probability, and the words outside the head with their numbers. Only a lot's distinct tokens and pairs, and their
+        places, are held together: bytes and tokens are those of a pass."""
+        for a, b in passes(offsets, self.limit):
+            reads = [self._read(data, offsets, a + i, a + j) for i, j in passes(offsets[a : b + 1])]
+            token, pair = (np.unique(np.concatenate(k)) for k in ([x.tokens for x in reads], [x.pairs for x in reads]))
+            counts = self._counts(token, context_key(np.append(token, END_HASH)), pair)
+            for x in reads:
+                yield x.i, x.j, x.n_tokens, x.n_head, x.base, self._score(x, token, pair, counts), x.tail
+            del reads, token, pair, counts
+
+
+#: How the words outside the head travel: each once a row, with its number.
+TAIL_TYPE = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
+
+
+def _tails(tokens: pa.Array, row: np.ndarray, n: int) -> pa.ListArray:
+    t = pa.table({"row": row, "token": tokens.cast(pa.string()), "k": np.ones(len(row), np.int64)}).group_by(["row", "token"]).aggregate([("k", "sum")]).sort_by("row")
+    count = np.bincount(t["row"].to_numpy(), minlength=n) if t.num_rows else np.zeros(n, np.int64)
+    struct = pa.StructArray.from_arrays([t["token"].combine_chunks() if t.num_rows else pa.array([], pa.string()), t["k_sum"].combine_chunks() if t.num_rows else pa.array([], pa.int64())], fields=list(TAIL_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), struct).cast(TAIL_TYPE)
 
 
 def score(docs: DataFrame, model: Model, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,20 +419,15 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, id_col: str = "doc_id
     blocks = model.blocks
     shared = spark.sparkContext.broadcast(replace(model, blocks=[]))
     kind = docs.schema[id_col].dataType.simpleString()
-    tail_type = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, blocks)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in passes(offsets, scorer.limit):
-                d = data[offsets[i] : offsets[j]]
-                n_tokens, n_head, base, total, (starts, ends, row) = scorer(d, offsets[i : j + 1] - offsets[i])
-                t = pa.table({"row": row, "token": _strings(d, starts, ends).cast(pa.string()), "k": np.ones(len(row), np.int64)}).group_by(["row", "token"]).aggregate([("k", "sum")]).sort_by("row")
-                count = np.bincount(t["row"].to_numpy(), minlength=j - i) if t.num_rows else np.zeros(j - i, np.int64)
-                struct = pa.StructArray.from_arrays([t["token"].combine_chunks() if t.num_rows else pa.array([], pa.string()), t["k_sum"].combine_chunks() if t.num_rows else pa.array([], pa.int64())], fields=list(tail_type.value_type))
-                tail = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), struct)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), tail.cast(tail_type)], [id_col, "n_tokens", "n_head", "head_sum", "score", "tail"])
+            for i, j, n_tokens, n_head, base, total, tail in scorer(data, offsets):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), tail], [id_col, "n_tokens", "n_head", "head_sum", "score", "tail"])
+            del batch, data, offsets
+            tidy()
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_head long, head_sum double, score double, tail array<struct<token:string,k:long>>")
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")

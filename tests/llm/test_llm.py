@@ -143,6 +143,36 @@ def test_lm_holds_every_count_in_blocks_that_grow(spark):
     assert np.allclose(one, many)
 
 
+def test_lm_lot_takes_the_memory_of_a_pass():
+    names = np.array([f"word{i}" for i in range(20_000)])
+    rng = np.random.default_rng(4)
+    data, at = kit.utf8(pa.array([" ".join(names[rng.zipf(1.2, 400) % 20_000]) for _ in range(2000)]))
+    assert len(data) > 5 * kit.PASS_BYTES
+    found = [lm.token_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])[:2] for i, j in kit.passes(at)]
+    tokens, token_count = np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
+    tables = [(tokens, token_count, 1.15), (*lm._sum_sorted(lm.context_key(tokens), token_count), 1.15), (*np.unique(np.concatenate([lm.pair_keys(h, r) for h, r in found]), return_counts=True), 1.5)]
+
+    class Shared:
+        def __init__(self, first, last):
+            filters = []
+            for key, count, base in tables:
+                of = [lm.shard_of(key, 4) == s for s in range(first, last)]
+                filters.append(lm.Filter([lm.build_slice(key[x], count[x], lm.words_for(count[x], base, 12), base, 12)[0] for x in of], base, first, 4))
+            self.value = lm.Block(*filters)
+
+    model = lm.Model([], tokens[::2], token_count[::2], int(token_count.sum()), len(tokens), 1000.0, 16 << 20)
+    many, one = lm.Scorer(model, [Shared(0, 2), Shared(2, 4)]), lm.Scorer(model, [Shared(0, 4)])
+    tracemalloc.start()
+    got = list(many(data, at))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20, peak
+    assert len(got) > 5 and [x[:2] for x in got] == list(kit.passes(at))
+    for x, y in zip(got, one(data, at), strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(x[:6], y[:6], strict=True))
+        assert [sorted((w["token"], w["k"]) for w in row) for row in x[6].to_pylist()] == [sorted((w["token"], w["k"]) for w in row) for row in y[6].to_pylist()]
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
