@@ -37,6 +37,8 @@ from boxtrail.llm.kit import LOWER, PASS_BYTES, drop_written, mix, passes, shard
 #: Keys that are probed at a time.
 PROBE_KEYS = 1 << 17
 
+_NO_KEYS = np.zeros(0, np.uint64)
+
 #: The end token; white space keeps it apart from every word.
 END = "\n"
 END_HASH = np.uint64(0x5EED0E4D5EED0E4D)
@@ -178,6 +180,13 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64)), pa.py_buffer(LOWER[data[out]] if len(out) else b"")])
 
 
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of all arrays in order, sorted in place (np.unique may keep a node for each)."""
+    key = np.concatenate(keys)
+    key.sort()
+    return key[np.concatenate(([True], key[1:] != key[:-1]))]
+
+
 def _sum_sorted(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     key, count = key[order], count[order]
@@ -233,9 +242,8 @@ def _pair_blobs(texts: DataFrame, n_shards: int) -> DataFrame:
 
 
 def _gathered(table: pa.Table, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
-    key = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-    count = [np.frombuffer(x.as_py(), kind).astype(np.int64) for x in table.column("counts")]
-    return _sum_sorted(np.concatenate(key), np.concatenate(count))
+    key, count = (np.concatenate([np.frombuffer(x.as_buffer(), of) for x in table.column(c)]) for c, of in (("keys", np.uint64), ("counts", kind)))
+    return _sum_sorted(key, count.astype(np.int64))
 
 
 def _blocks(made: list[DataFrame], bases: list[float], n: int, block_bytes: int) -> list[Broadcast]:
@@ -282,6 +290,8 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
         held, total, to = held[order], total[order], to[order]
         cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, np.int64)
         parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        del key, count, order
+        tidy()
         return pa.table(
             {
                 "kind": pa.array([0] + [1] * len(parts), pa.int32()),
@@ -294,6 +304,8 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
     def single_slice(table: pa.Table) -> pa.Table:
         key, count = _gathered(table, np.int64)
         out, _ = build_slice(key, count, words_for(count, p.base_single, p.bits_per_entry), p.base_single, p.bits_per_entry)
+        del key, count
+        tidy()
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([out.tobytes()], pa.binary())})
 
     def vocabulary_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +314,8 @@ def train(texts: DataFrame, params: Params = Params()) -> tuple[Model, DataFrame
             shard = shard_of(key, n_shards)
             for s in np.unique(shard):
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([key[shard == s].tobytes()], pa.binary()), pa.array([count[shard == s].astype(np.int64).tobytes()], pa.binary())], ["shard", "keys", "counts"])
+            del batch, key, count, shard
+            tidy()
 
     pairs = written(_pair_blobs(texts, n_shards).groupBy("shard").applyInArrow(pair_slice, "kind int, shard int, keys binary, counts binary"), "pairs")
     contexts = pairs.where("kind = 1").groupBy("shard").applyInArrow(single_slice, "shard int, keys binary")
@@ -330,7 +344,8 @@ def _token_keys(tokens: pa.Array) -> np.ndarray:
 
 @dataclass
 class Read:
-    """What a pass over rows i to j keeps until the filters have been probed; places are those in tokens and pairs."""
+    """What a pass over rows i to j keeps until the filters have been probed: for each of its tokens and pairs the place among
+    the distinct ones, first of the pass, then of the lot."""
 
     i: int
     j: int
@@ -378,14 +393,14 @@ class Scorer:
             by_row(np.where(in_head, np.log10(exact + 0.1), 0.0)), _tails(_strings(d, starts[tail], ends[tail]), r[place][tail], n),
         )
 
-    def _score(self, x: Read, token: np.ndarray, pair: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    def _score(self, x: Read, counts: list[np.ndarray]) -> np.ndarray:
         """The model's log10 probability by row, from the counts of a lot's tokens, their contexts (the end's last) and pairs."""
-        m, at = self.m, np.searchsorted(token, x.tokens)
-        p1 = ((counts[0][at] + 0.1) / (m.n + 0.1 * (m.v + 1)))[x.token_at]
+        m = self.m
+        p1 = (counts[0][x.token_at] + 0.1) / (m.n + 0.1 * (m.v + 1))
         before = np.empty(len(x.token_at))
-        before[1:] = counts[1][at][x.token_at[:-1]]
+        before[1:] = counts[1][x.token_at[:-1]]
         before[:1] = counts[1][-1]
-        seen = np.where(before > 0, counts[2][np.searchsorted(pair, x.pairs)][x.pair_at], 0.0)
+        seen = np.where(before > 0, counts[2][x.pair_at], 0.0)
         logp = np.log10((np.minimum(seen, before) + m.mu * p1) / (before + m.mu))
         return np.bincount(np.repeat(np.arange(x.j - x.i), x.n_tokens), weights=logp, minlength=x.j - x.i)
 
@@ -395,11 +410,18 @@ class Scorer:
         places, are held together: bytes and tokens are those of a pass."""
         for a, b in passes(offsets, self.limit):
             reads = [self._read(data, offsets, a + i, a + j) for i, j in passes(offsets[a : b + 1])]
-            token, pair = (np.unique(np.concatenate(k)) for k in ([x.tokens for x in reads], [x.pairs for x in reads]))
+            tidy()
+            token, pair = (_distinct([getattr(x, k) for x in reads]) for k in ("tokens", "pairs"))
+            for x in reads:
+                x.token_at, x.pair_at = (np.searchsorted(k, own).astype(np.int32)[at] for k, own, at in ((token, x.tokens, x.token_at), (pair, x.pairs, x.pair_at)))
+                x.tokens = x.pairs = _NO_KEYS
+            tidy()
             counts = self._counts(token, context_key(np.append(token, END_HASH)), pair)
+            del token, pair
+            tidy()
             for x in reads:
-                yield x.i, x.j, x.n_tokens, x.n_head, x.base, self._score(x, token, pair, counts), x.tail
-            del reads, token, pair, counts
+                yield x.i, x.j, x.n_tokens, x.n_head, x.base, self._score(x, counts), x.tail
+            del reads, x, counts
 
 
 #: How the words outside the head travel: each once a row, with its number.
