@@ -504,6 +504,30 @@ def test_jaccard_near_copies(spark):
         assert sorted(((r.doc_id, r.n_links) for r in out), key=repr) == link_counts(rows)
 
 
+def children_ended(spark):
+    """Page faults of child processes that the JVM has waited for: more after each one."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    with open(f"/proc/{pid}/stat") as f:
+        return int(f.read().rsplit(")", 1)[1].split()[8])
+
+
+def test_jaccard_starts_no_process_for_a_file(spark, docs):
+    jaccard.classes(docs.limit(3)).count()
+    before = children_ended(spark)
+    assert jaccard.classes(docs).count() == len(ROWS)
+    assert children_ended(spark) == before
+
+
+def test_stored_tables(spark, docs, monkeypatch):
+    monkeypatch.setattr(kit, "GROUP_BYTES", 1000)
+    got = kit.stored(docs, "some")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(ROWS, key=repr) and got.dtypes == docs.dtypes
+    made = kit.stored(spark.range(5000).repartition(3), "made", lambda batches: (b.slice(0, 7) for b in batches), "id long")
+    assert made.count() == 21 and made.dtypes == [("id", "bigint")]
+    none = kit.stored(docs.where("doc_id < 0"), "none")
+    assert none.count() == 0 and none.dtypes == docs.dtypes and none.inputFiles()
+
+
 def thue_morse(n, first="a"):
     return "".join("ab"[(i.bit_count() + (first == "b")) & 1] for i in range(n))
 
